@@ -97,10 +97,11 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "media
 def competition_rank(df: DataFrame, by: Sequence[str], score: str, keep: str = "rank") -> DataFrame:
     """Rank 1 + number of strictly higher scores, plus the group size as ``total``.
 
-    Scores are few (0-100), so ranks are computed on the distinct scores and joined back.
+    Scores are whole numbers from 0 to 100, so ranks are computed on at most 101 distinct
+    scores per group and joined back; no range cut is needed.
     """
     counts = value_counts(df, by, score)
-    cum = running_totals(counts, by, score, ["n"])
+    cum = running_totals(counts, by, score, ["n"], bounds=[])
     ranks = cum.select(*by, score, (F.col("total_n") - F.col("cum_n") + 1).alias(keep),
                        F.col("total_n").alias("total"))
     return df.join(ranks, [*by, score], "left")
