@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 DEFAULT_RANGES = 64
 
 
-def _range_tree(value: Column, bounds: Sequence[float], lo: int, hi: int) -> Column:
+def _range_tree(value: Column, bounds: Sequence, lo: int, hi: int) -> Column:
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
@@ -31,14 +31,28 @@ def range_bounds(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES) -> lis
     return sorted(set(row[0] or []))
 
 
-def range_of(value: Column, bounds: Sequence[float]) -> Column:
+def text_bounds(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES, sample: int = 4096) -> list[str]:
+    """Split points of a text column out of about ``sample`` keys picked by hash.
+
+    Only the split points depend on the sample; every row is ranked.
+    """
+    n = df.count()
+    step = max(1, n // sample)
+    picked = df.where(F.pmod(F.xxhash64(value), F.lit(step)) == 0).select(value).distinct().orderBy(value).limit(4 * sample)
+    keys = [r[0] for r in picked.collect() if r[0] is not None]
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def range_of(value: Column, bounds: Sequence) -> Column:
     """Number of the range a value falls in: a balanced tree of comparisons, compiled by Spark."""
-    v = value.cast("double")
-    return _range_tree(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
+    if not bounds:
+        return F.lit(0)
+    v = value if isinstance(bounds[0], str) else value.cast("double")
+    return _range_tree(v, bounds, 0, len(bounds))
 
 
 def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[str],
-                   ranges: int = DEFAULT_RANGES, bounds: Sequence[float] | None = None) -> DataFrame:
+                   ranges: int = DEFAULT_RANGES, bounds: Sequence | None = None) -> DataFrame:
     """Add ``cum_<m>`` (up to and including the value) and ``total_<m>`` per group.
 
     ``df`` has one row per (by, value); measures are additive.
@@ -105,3 +119,10 @@ def competition_rank(df: DataFrame, by: Sequence[str], score: str, keep: str = "
     ranks = cum.select(*by, score, (F.col("total_n") - F.col("cum_n") + 1).alias(keep),
                        F.col("total_n").alias("total"))
     return df.join(ranks, [*by, score], "left")
+
+
+def positions(df: DataFrame, key: str, out: str = "position") -> DataFrame:
+    """0-based position of every row in the order of a unique text key, without one global sort task."""
+    one = df.select(key, F.lit(1).alias("_one"))
+    cum = running_totals(one.select(F.lit(0).alias("_g"), key, "_one"), ["_g"], key, ["_one"], bounds=text_bounds(df, key))
+    return df.join(cum.select(key, (F.col("cum__one") - 1).alias(out)), key)
