@@ -55,7 +55,9 @@ def read_versioned(spark: SparkSession, path: str, schema: TableSchema) -> tuple
           .option("sep", schema.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .option("enforceSchema", "true").csv(path))
     canonical = [F.col(c).alias(schema.columns[c]) for c in names]
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.lit("ROW_WIDTH").alias("code"), F.col(CORRUPT).alias("detail"))
+    # the reader wants another column next to the corrupt-record one in every query
+    broken = F.col(CORRUPT).isNotNull() | (F.length(names[0]) < 0)
+    bad = df.where(broken).select(F.lit("ROW_WIDTH").alias("code"), F.col(CORRUPT).alias("detail"))
     return df.where(F.col(CORRUPT).isNull()).select(*canonical), bad
 
 
