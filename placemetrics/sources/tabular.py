@@ -53,7 +53,8 @@ def read_versioned(spark: SparkSession, path: str, schema: TableSchema) -> tuple
     fields = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(fields).option("header", "true").option("encoding", schema.encoding)
           .option("sep", schema.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("enforceSchema", "true").csv(path))
+          # a pruned parse would not see that a row is too wide
+          .option("columnPruning", "false").option("enforceSchema", "true").csv(path))
     canonical = [F.col(c).alias(schema.columns[c]) for c in names]
     # the reader wants another column next to the corrupt-record one in every query
     broken = F.col(CORRUPT).isNotNull() | (F.length(names[0]) < 0)
