@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placemetrics.session import cut
+
 DEFAULT_RANGES = 64
 
 
@@ -59,9 +61,10 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Seque
     """
     by = list(by)
     if bounds is None:
+        df = cut(df)        # read for the split points, the range totals and the ranges
         bounds = range_bounds(df, value, ranges)
-    cut = df.withColumn("_range", range_of(F.col(value), bounds))
-    per_range = cut.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_r_{m}") for m in measures])
+    ranged = df.withColumn("_range", range_of(F.col(value), bounds))
+    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_r_{m}") for m in measures])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = per_range.select(
@@ -69,7 +72,7 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Seque
         *[F.coalesce(F.sum(f"_r_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_r_{m}").over(whole).alias(f"total_{m}") for m in measures])
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.select("*", *[F.sum(m).over(inside).alias(f"_i_{m}") for m in measures])
+    local = ranged.select("*", *[F.sum(m).over(inside).alias(f"_i_{m}") for m in measures])
     joined = local.join(offsets, [*by, "_range"])
     return joined.select(*df.columns,
                          *[(F.col(f"_o_{m}") + F.col(f"_i_{m}")).alias(f"cum_{m}") for m in measures],

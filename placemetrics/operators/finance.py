@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.functions.money import half_up_div, wide
+from placemetrics.functions.money import half_up_div, let, wide
 from placemetrics.operators.quality import issue_array
 
 # Limits and scenario templates.
@@ -137,16 +137,20 @@ def with_loan(plans: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
 
     def month(acc: Column, m: Column) -> Column:
-        left = acc["left"]
-        interest = _interest(left, F.col("_rate"))
-        part = (F.when(m <= F.col("grace_months"), zero).when(m == F.col("total_months"), left)
-                .when(F.col("repayment_method") == "EQUAL_PRINCIPAL", F.least(F.col("_even"), left))
-                .otherwise(F.least(F.greatest(F.col("_annuity") - interest, zero), left)))
-        pay = part + interest
-        row = F.struct(m.cast("int").alias("month"), part.alias("principal"), interest.alias("interest"), pay.alias("payment"),
-                       (left - part).alias("remaining"), (acc["paid"] + pay).alias("paid"))
-        return F.struct((left - part).alias("left"), (acc["paid"] + pay).alias("paid"),
-                        F.concat(acc["rows"], F.array(row)).cast(row_type).alias("rows"))
+        # interest and principal part are bound once; every mention would be computed again
+        def with_interest(x: Column) -> Column:
+            part = (F.when(m <= F.col("grace_months"), zero).when(m == F.col("total_months"), x["left"])
+                    .when(F.col("repayment_method") == "EQUAL_PRINCIPAL", F.least(F.col("_even"), x["left"]))
+                    .otherwise(F.least(F.greatest(F.col("_annuity") - x["interest"], zero), x["left"])))
+            return let(F.struct(part.alias("part"), x["interest"].alias("interest"), x["left"].alias("left")), with_part)
+
+        def with_part(y: Column) -> Column:
+            pay, left = y["part"] + y["interest"], y["left"] - y["part"]
+            row = F.struct(m.cast("int").alias("month"), y["part"].alias("principal"), y["interest"].alias("interest"), pay.alias("payment"),
+                           left.alias("remaining"), (acc["paid"] + pay).alias("paid"))
+            return F.struct(left.alias("left"), (acc["paid"] + pay).alias("paid"), F.concat(acc["rows"], F.array(row)).cast(row_type).alias("rows"))
+
+        return let(F.struct(acc["left"].alias("left"), _interest(acc["left"], F.col("_rate")).alias("interest")), with_interest)
 
     fold = F.aggregate(F.sequence(F.lit(1), F.col("total_months").cast("int")), start, month, lambda a: a["rows"])
     schedule = (F.when(live, fold).when(F.col("loan.status") == "READY", F.array().cast(row_type)))
@@ -155,7 +159,9 @@ def with_loan(plans: DataFrame) -> DataFrame:
 
 def loan_schedule(with_loans: DataFrame, key: str) -> DataFrame:
     """One row per plan and month."""
-    return with_loans.select(key, "grace_months", F.explode("schedule").alias("s")).select(
+    # the outer form: the plain one makes Spark test the size first and fold twice
+    rows = with_loans.select(key, "grace_months", F.explode_outer("schedule").alias("s")).where(F.col("s").isNotNull())
+    return rows.select(
         key, "s.month", F.when(F.col("s.month") <= F.col("grace_months"), "GRACE").otherwise("REPAYMENT").alias("phase"),
         "s.principal", "s.interest", "s.payment", "s.remaining")
 

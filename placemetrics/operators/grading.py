@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placemetrics.functions.money import let
 from placemetrics.operators.matching import CONDITIONS, USER_GROUPS, apply_title_mark, match_group, six_verdicts, verdict
 
 # Base profile, probe points and the three group profiles.
@@ -164,7 +165,7 @@ def expand_gold(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
 def open_group(readings: dict[str, Column], p: Column, mark: Column, as_of: Column) -> Column:
     v = six_verdicts(readings, p, as_of)
     v["region"] = apply_title_mark(v["region"], readings["region"]["status"], mark)
-    return match_group(F.array(*[v[n] for n in CONDITIONS]))
+    return let(F.struct(*[v[n].alias(n) for n in CONDITIONS]), lambda x: match_group([x[n] for n in CONDITIONS]))
 
 
 def group_outcomes(cases: DataFrame, keys: Sequence[str], as_of: str = AS_OF) -> DataFrame:

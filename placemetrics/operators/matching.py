@@ -66,14 +66,21 @@ def years_to_months(years: Column) -> Column:
     return F.when(F.abs(m - F.round(m)) < 1e-9, F.round(m).cast("int"))
 
 
-def business_age_verdict(r: Column, p: Column, as_of: Column) -> Column:
+def opening_days(p: Column, as_of: Column) -> tuple[Column, Column]:
+    """Earliest and latest day an opening month allows."""
+    first = F.to_date(F.concat(p["opened"], F.lit("-01")))
+    return first, F.least(F.last_day(first), as_of)
+
+
+def business_age_verdict(r: Column, p: Column, as_of: Column, days: tuple[Column, Column] | None = None,
+                         months: tuple[Column, Column] | None = None) -> Column:
     """The opening is known to the month: both ends of that month have to agree, else CHECK.
 
-    Months are added with the day clamped to the month's end.
+    Months are added with the day clamped to the month's end. ``days`` and ``months`` can be
+    given where they were worked out before a join.
     """
-    lo, hi = years_to_months(r["min"]), years_to_months(r["max"])
-    first = F.to_date(F.concat(p["opened"], F.lit("-01")))
-    last = F.least(F.last_day(first), as_of)
+    first, last = days or opening_days(p, as_of)
+    lo, hi = months or (years_to_months(r["min"]), years_to_months(r["max"]))
 
     def too_young(opened: Column) -> Column:
         return F.coalesce(F.add_months(opened, lo) > as_of, F.lit(False))
@@ -112,16 +119,20 @@ def food_verdict(r: Column) -> Column:
 
 
 def groups_verdict(r: Column, p: Column, age: Column) -> Column:
-    """Any group the applicant is in matches; else a missing input, else an uncertain group, else no match."""
-    def member(g: Column) -> Column:
-        youth = (F.when((age["status"] != "READ") | age["max"].isNull(), F.lit("UNCERTAIN")).when(p["age"].isNull(), F.lit("INPUT_MISSING"))
-                 .when(in_range(p["age"], age), F.lit("IN")).otherwise(F.lit("OUT")))
-        return (F.when(g == "OTHER", F.lit("UNCERTAIN")).when(g == "DAMAGED", F.lit("OUT")).when(g == "YOUTH", youth)
-                .when(p["groups"].isNull(), F.lit("INPUT_MISSING")).when(F.array_contains(p["groups"], g), F.lit("IN")).otherwise(F.lit("OUT")))
-
-    kinds = F.transform(r["value"], member)
-    v = (F.when((F.size(kinds) == 0) | F.array_contains(kinds, "IN"), MATCH).when(F.array_contains(kinds, "INPUT_MISSING"), check("INPUT_MISSING"))
-         .when(F.array_contains(kinds, "UNCERTAIN"), check("UNCERTAIN")).otherwise(MISMATCH))
+    """Any group the applicant is in matches; else a missing input, else an uncertain group, else no match.
+
+    Youth goes by the age range and needs its upper bound; damaged applicants are never assumed.
+    """
+    wanted = r["value"]
+    youth = F.array_contains(wanted, "YOUTH")
+    no_youth_age = (age["status"] != "READ") | age["max"].isNull()
+    is_youth = youth & ~no_youth_age & F.coalesce(in_range(p["age"], age), F.lit(False)) & p["age"].isNotNull()
+    user = F.greatest(*[F.array_contains(wanted, g).cast("int") for g in USER_GROUPS]) == 1
+    in_one = F.coalesce(F.arrays_overlap(wanted, p["groups"]), F.lit(False))
+    missing = (youth & ~no_youth_age & p["age"].isNull()) | (user & p["groups"].isNull())
+    uncertain = F.array_contains(wanted, "OTHER") | (youth & no_youth_age)
+    v = (F.when((F.size(wanted) == 0) | is_youth | in_one, MATCH).when(missing, check("INPUT_MISSING"))
+         .when(uncertain, check("UNCERTAIN")).otherwise(MISMATCH))
     return unread(r, v)
 
 
@@ -162,11 +173,14 @@ def apply_title_mark(region: Column, status: Column, mark: Column) -> Column:
              .when(other & (region == "CHECK:NOT_MENTIONED"), check("TITLE_REGION_MARK")).otherwise(region))
 
 
-def match_group(verdicts: Column) -> Column:
-    """Group of an open notice out of its array of verdicts."""
-    checks = F.filter(verdicts, lambda v: v.startswith("CHECK"))
-    return (F.when(F.array_contains(verdicts, "MISMATCH"), "NOT_MATCHING").when(F.size(checks) == 0, "MATCHING")
-             .when(F.forall(checks, lambda v: v == "CHECK:NOT_MENTIONED"), "NOT_MENTIONED_ONLY").otherwise("NEEDS_CHECK"))
+def match_group(verdicts: Sequence[Column]) -> Column:
+    """Group of an open notice out of its six verdicts."""
+    bad, checks, other = F.lit(False), F.lit(False), F.lit(False)
+    for v in verdicts:
+        bad = bad | (v == MISMATCH)
+        checks = checks | (v != MATCH)
+        other = other | ((v != MATCH) & (v != "CHECK:NOT_MENTIONED"))
+    return (F.when(bad, "NOT_MATCHING").when(~checks, "MATCHING").when(~other, "NOT_MENTIONED_ONLY").otherwise("NEEDS_CHECK"))
 
 
 # ---------------------------------------------------------------- product side
@@ -228,7 +242,7 @@ def select_readings(products: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lists
 
 ANY, NONE = "*", "-"
-SALT = 16
+SALT = 8
 
 
 def _candidate_keys(products: DataFrame, districts: Sequence[str]) -> DataFrame:
@@ -260,20 +274,30 @@ def match_list(products: DataFrame, profiles: DataFrame, as_of: str, districts:
     can still match meets exactly once. A key many applicants share is split by a salt.
     """
     day = F.lit(as_of).cast("date")
-    open_ = products.where(F.col("closed_by").isNull())
-    # a mark of the capital decides an unread region, an unread region is under ANY anyway
-    left = _candidate_keys(open_, districts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    # a notice that excludes food businesses mismatches for everyone
+    open_ = products.where(F.col("closed_by").isNull() & (food_verdict(F.col("food")) != MISMATCH))
+    lo, hi = years_to_months(F.col("business_age.min")), years_to_months(F.col("business_age.max"))
+    keyed = _candidate_keys(open_, districts).select(
+        "product_key", "tab", "position", "application_state", "mark", *CONDITIONS, "_dk", "_sk", lo.alias("_lo"), hi.alias("_hi"))
+    left = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     p = F.col("profile")
+    first, last = opening_days(p, day)
     dkeys = F.array(F.coalesce(p["district"], F.lit(NONE)), F.lit(ANY))
     skeys = F.array(F.coalesce(p["status"], F.lit(NONE)), F.lit(ANY))
-    right = (profiles.withColumn("_dk", F.explode(dkeys)).withColumn("_sk", F.explode(skeys))
-             .withColumn("_salt", F.pmod(F.xxhash64("profile_id"), F.lit(salt)).cast("int")))
+    right = profiles.select(
+        "profile_id", "profile", first.alias("_first"), last.alias("_last"), F.explode(dkeys).alias("_dk"),
+        F.pmod(F.xxhash64("profile_id"), F.lit(salt)).cast("int").alias("_salt")).withColumn("_sk", F.explode(skeys))
     j = left.join(right, ["_dk", "_sk", "_salt"])
     v = six_verdicts({n: F.col(n) for n in CONDITIONS}, p, day)
+    v["business_age"] = business_age_verdict(F.col("business_age"), p, day, (F.col("_first"), F.col("_last")), (F.col("_lo"), F.col("_hi")))
     v["region"] = apply_title_mark(v["region"], F.col("region.status"), F.col("mark"))
-    out = j.select("profile_id", "product_key", "tab", "position", "application_state", *[v[n].alias(f"v_{n}") for n in CONDITIONS])
-    out = out.withColumn("group", match_group(F.array(*[F.col(f"v_{n}") for n in CONDITIONS])))
-    return out.where(F.col("group") != "NOT_MATCHING")
+    # cheap tests first; then all verdicts once, behind a generator that keeps Spark from
+    # copying their expressions into the filter and the group
+    live = j.where((v["age"] != MISMATCH) & (v["business_age"] != MISMATCH))
+    six = live.select("profile_id", "product_key", "tab", "position", "application_state",
+                      F.explode_outer(F.array(F.struct(*[v[n].alias(n) for n in CONDITIONS]))).alias("_v"))
+    out = six.withColumn("group", match_group([F.col(f"_v.{n}") for n in CONDITIONS])).where(F.col("group") != "NOT_MATCHING")
+    return out.select("profile_id", "product_key", "tab", "position", "application_state", *[F.col(f"_v.{n}").alias(f"v_{n}") for n in CONDITIONS], "group")
 
 
 def match_counts(matches: DataFrame, products: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.functions.hashing import multiset_fingerprint
+from placemetrics.functions.money import let
 from placemetrics.functions.text import compact, normalise_text
 from placemetrics.operators.quality import first_reason, issue_array, missing_or
 
@@ -49,11 +50,6 @@ def parse_period_strict(raw: Column) -> Column:
     return F.when(a <= b, F.struct(a.alias("start"), b.alias("end")))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` over a value that is computed once per row instead of once per mention."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
     return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), real_date(text))
@@ -84,14 +80,14 @@ def parse_period(raw: Column) -> Column:
         short = _ymd(a["y"], b["sm"], b["sd"])
         rolled = F.when(short < x["start"], _ymd(a["y"] + 1, b["sm"], b["sd"])).otherwise(short)
         end = F.when(b["m"].isNotNull(), _ymd(b["y"], b["m"], b["d"])).otherwise(rolled)
-        return _let(F.struct(x["start"].alias("start"), end.alias("end")),
+        return let(F.struct(x["start"].alias("start"), end.alias("end")),
                     lambda y: F.when(y["end"] >= y["start"], period(y["start"], y["end"], no_text)))
 
     def one_date(x: Column) -> Column:
         at = F.instr(x["text"], x["a"]["raw"]) + F.length(x["a"]["raw"])
         rest = F.substring(x["text"], at, F.length(x["text"]))
         tail = F.nullif(F.trim(F.regexp_extract(rest, r"^[^~∼～]*[~∼～](.*)$", 1)), F.lit(""))
-        return _let(F.struct(x["start"].alias("start"), tail.alias("tail")), lambda y: F.when(
+        return let(F.struct(x["start"].alias("start"), tail.alias("tail")), lambda y: F.when(
             y["tail"].rlike(SINGLE_DAY_TAIL), period(y["start"], y["start"], no_text)).when(
             ~y["tail"].rlike(r"\d") & y["tail"].rlike(OPEN_ENDED), period(y["start"], no_date, y["tail"])))
 
@@ -99,11 +95,11 @@ def parse_period(raw: Column) -> Column:
         first = F.get(x["parts"], F.lit(0))
         bound = F.struct(x["text"].alias("text"), F.size(x["parts"]).alias("n"), first.alias("a"), F.get(x["parts"], F.lit(1)).alias("b"),
                          _ymd(first["y"], first["m"], first["d"]).alias("start"))
-        return _let(bound, lambda y: F.when(y["start"].isNotNull() & (y["n"] == 2), two_dates(y)).when(
+        return let(bound, lambda y: F.when(y["start"].isNotNull() & (y["n"] == 2), two_dates(y)).when(
             y["start"].isNotNull() & (y["n"] == 1), one_date(y)))
 
     text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    return _let(F.struct(text.alias("text"), F.transform(F.regexp_extract_all(text, F.lit(DATE_TOKEN), F.lit(0)), _date_parts).alias("parts")), decide)
+    return let(F.struct(text.alias("text"), F.transform(F.regexp_extract_all(text, F.lit(DATE_TOKEN), F.lit(0)), _date_parts).alias("parts")), decide)
 
 
 def parse_single_amount(raw: Column) -> Column:

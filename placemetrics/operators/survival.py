@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from placemetrics.functions.money import half_up_div, int_div, wide
 from placemetrics.functions.ranks import competition_rank, exact_median, nearest_rank, running_totals
 from placemetrics.operators.panel import SERIES
+from placemetrics.session import cut
 
 # Fixed values of the score definition.
 MIN_STORE_COUNT = 5
@@ -158,6 +159,7 @@ def training_rows(features: DataFrame) -> DataFrame:
 
 def label_by_median(samples: DataFrame, by: Sequence[str] = ("industry_code", "quarter_idx")) -> DataFrame:
     """Label 1 when the rate is strictly above the median of its industry and quarter."""
+    samples = cut(samples)      # read for the median and joined back to it
     med = exact_median(samples, by, "future_closure_rate", "median_rate").drop("n")
     return samples.join(med, list(by)).withColumn(
         "label", (F.col("future_closure_rate") > F.col("median_rate")).cast("int"))

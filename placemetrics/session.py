@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "placemetrics", cpus: str | int = 8) -> SparkSession:
@@ -34,3 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="placemetrics-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and drop the lineage.
+
+    Used where a result is read several times; a lost executor then costs a re-read, not a
+    re-run of everything before.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

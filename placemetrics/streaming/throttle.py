@@ -15,19 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemetrics.session import shared_dir
+from placemetrics.session import cut
 
 
 def millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs one step only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def anchors(times: DataFrame, key: str, window_ms: int) -> DataFrame:
     """Anchor times per key by pointer doubling: log2 of the longest dense run in joins.
 
@@ -53,13 +47,13 @@ def anchors(times: DataFrame, key: str, window_ms: int) -> DataFrame:
     nxt = (seen.withColumn("slot", F.col("slot") - 1).join(fallback, [key, "slot"])
                .select(key, "t", F.coalesce("near_t", "after_t").alias("to_t")).where("to_t IS NOT NULL"))
     # jumps into a start are not needed: starts are known anchors already
-    jump = _cut(nxt.join(starts.select(key, F.col("t").alias("to_t")), [key, "to_t"], "left_anti"))
-    found = _cut(starts)
+    jump = cut(nxt.join(starts.select(key, F.col("t").alias("to_t")), [key, "to_t"], "left_anti"))
+    found = cut(starts)
     while not jump.isEmpty():
         reached = found.join(jump, [key, "t"]).select(key, F.col("to_t").alias("t"))
-        found = _cut(found.unionByName(reached).distinct())
+        found = cut(found.unionByName(reached).distinct())
         ahead = jump.select(key, F.col("t").alias("to_t"), F.col("to_t").alias("far_t"))
-        jump = _cut(jump.join(ahead, [key, "to_t"]).select(key, "t", F.col("far_t").alias("to_t")))
+        jump = cut(jump.join(ahead, [key, "to_t"]).select(key, "t", F.col("far_t").alias("to_t")))
     return found
 
 
