@@ -50,7 +50,7 @@ def f_product(t: Tables) -> DataFrame:
         return F.when(k % m == 0, F.array(*[F.lit(x) for x in a])).when(k % m == 1, F.array(*[F.lit(x) for x in b])).otherwise(F.array().cast("array<string>"))
 
     origin = F.when(k % 3 == 0, "OPERATOR").otherwise("SYNC")
-    return t.part.select(
+    return t.spread("part").select(
         F.concat(F.lit("p-"), k.cast("string")).alias("product_key"), F.concat(F.lit("1."), (k % 3).cast("string"), F.lit("."), (k % 7).cast("string")).alias("version"),
         k.alias("line"), F.col("p_name").alias("name"), origin.alias("origin"), F.when(k % 2 == 0, "SEMAS_OLS").otherwise("BIZINFO").alias("source"),
         opt(k % 13 != 0, F.concat(F.lit("x"), (k % 1500).cast("string"))).alias("external_id"),

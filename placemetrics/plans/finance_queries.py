@@ -30,7 +30,7 @@ def f_plan(t: Tables) -> DataFrame:
         return F.when(k % mod != 0, c)
 
     months = (k % 61 + 12).cast("int")
-    return t.customer.select(
+    return t.spread("customer").select(
         k.alias("plan_id"), null_at(7, a * 10).alias("deposit"), (a * 25 + 1000003).alias("facilities"),
         null_at(11, a * 3).alias("initial_inventory"), (k * 1000).alias("other_preparation"),
         null_at(13, a * 8).alias("target_reserve"), null_at(17, a * 20 + k).alias("equity"),

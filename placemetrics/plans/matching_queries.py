@@ -183,7 +183,7 @@ MARKS = ("[서울] ", "[부산] ", "[전국] ", "", "  [ 경기 ] ")
 def f_notice(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     basis = F.lit(AS_OF).cast("date")
-    rows = t.part.select(
+    rows = t.spread("part").select(
         F.concat(F.lit("p-"), k.cast("string")).alias("product_key"), k.alias("position"), *[reading(n, k).alias(n) for n in M.CONDITIONS],
         F.concat(F.get(F.array(*[F.lit(m) for m in MARKS]), (k % 5).cast("int")), F.col("p_name")).alias("name"),
         F.when(k % 3 == 0, "OPERATOR").otherwise("SYNC").alias("origin"), F.when(k % 2 == 0, "SEMAS_OLS").otherwise("BIZINFO").alias("source"),
@@ -361,7 +361,7 @@ FIELD_NO = {n: i for i, n in enumerate(G.FIELDS)}
 def f_gold(t: Tables) -> DataFrame:
     """Two runs per labelled document: answers and acceptable readings of the eight fields."""
     d, r = F.col("doc_id"), F.col("run")
-    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select(
+    rows = t.spread("labels").join(t.spread("documents").select("doc_id"), "doc_id").select(
         "doc_id", F.when(d % 2 == 0, "dev").otherwise("test").alias("set_name"), F.explode(F.array(F.lit(0), F.lit(1))).alias("run"),
         F.get(F.array(F.lit("서울"), F.lit("부산"), F.lit(None).cast("string")), (d % 3).cast("int")).alias("mark"))
     cols = {}

@@ -59,7 +59,7 @@ _DAY = "(DATE '2024-01-01' + CAST(doc_id % 600 AS INTEGER))"
 def period_strict(t):
     k = F.col("doc_id")
     p = N.parse_period_strict(period_text(k % 8, day_of(k)))
-    return t.documents.select("doc_id", p["start"].alias("start_day"), p["end"].alias("end_day"))
+    return t.spread("documents").select("doc_id", p["start"].alias("start_day"), p["end"].alias("end_day"))
 
 
 @query("period_free", None, f"""SELECT doc_id, {s_start('doc_id % 8', _DAY)} AS start_day, {s_end('doc_id % 8', _DAY)} AS end_day,
@@ -67,7 +67,7 @@ def period_strict(t):
 def period_free(t):
     k = F.col("doc_id")
     p = N.parse_period(period_text(k % 8, day_of(k)))
-    return t.documents.select("doc_id", p["start"].alias("start_day"), p["end"].alias("end_day"), p["note"].alias("note"))
+    return t.spread("documents").select("doc_id", p["start"].alias("start_day"), p["end"].alias("end_day"), p["note"].alias("note"))
 
 
 _AMOUNT = "CASE k % 6 WHEN 0 THEN k % 9 * 100000000 WHEN 1 THEN 70000000 + k % 9 * 1000000 WHEN 2 THEN 100000000 + k % 90 * 10000 WHEN 3 THEN 4 * 1000000 + k % 7 * 10000 END"
@@ -90,7 +90,7 @@ def amount_words(t):
 def text_normalise(t):
     dirty = F.regexp_replace(F.regexp_replace("text", r"\. ", ".\r\n"), "e ", "\u0001e\u0007")
     clean = TX.normalise_text(dirty)
-    return t.documents.select("doc_id", F.length(clean).cast("bigint").alias("chars"), F.sha2(clean, 256).alias("digest"))
+    return t.spread("documents").select("doc_id", F.length(clean).cast("bigint").alias("chars"), F.sha2(clean, 256).alias("digest"))
 
 
 @query("html_lines", None, r"""
@@ -99,7 +99,7 @@ l AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambd
 SELECT page_id, CAST(len(lines) AS INTEGER) AS line_count, lines[1] AS first_line, sha256(array_to_string(lines, chr(10))) AS digest FROM l""")
 def html_lines(t):
     html = F.replace(F.col("html"), F.lit("<title>"), F.lit("&lt;title class=&quot;x&quot;&gt;"))
-    p = t.pages.select("page_id", TX.html_to_lines(html).alias("lines"))
+    p = t.spread("pages").select("page_id", TX.html_to_lines(html).alias("lines"))
     return p.select("page_id", F.size("lines").alias("line_count"), F.get("lines", F.lit(0)).alias("first_line"),
                     F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
 
@@ -110,12 +110,12 @@ def mask_secret(t):
     secret = "a b%2Bc/=="
     body = F.concat(F.col("text"), F.lit(f"|{secret}|"), F.col("doc_id").cast("string"), F.lit("|a%20b%252Bc%2F%3D%3D|a b+c/=="))
     masked = TX.mask_secret(body, secret)
-    return t.documents.select("doc_id", F.length(masked).cast("bigint").alias("chars"), F.sha2(masked, 256).alias("digest"))
+    return t.spread("documents").select("doc_id", F.length(masked).cast("bigint").alias("chars"), F.sha2(masked, 256).alias("digest"))
 
 
 @query("host_filter", None, r"""SELECT page_id, coalesce(regexp_matches(url, '^https://([a-z0-9-]+\.)*(example\.com|example\.net)(/|$)'), FALSE) AS official FROM pages""")
 def host_filter(t):
-    return t.pages.select("page_id", N.official_url(F.col("url"), ["example.com", "example.net"]).alias("official"))
+    return t.spread("pages").select("page_id", N.official_url(F.col("url"), ["example.com", "example.net"]).alias("official"))
 
 
 # ---------------------------------------------------------------- documents of a notice
@@ -125,7 +125,7 @@ def f_parts(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     ord_ = (k % 5).cast("int")
     name = F.concat(F.lit("file "), k.cast("string"), F.when(k % 17 == 0, F.lit(".xlsx")).when(k % 2 == 0, F.lit(".pdf")).otherwise(F.lit(".HWPX ")))
-    return t.documents.select(
+    return t.spread("documents").select(
         F.floor(k / 5).alias("notice_id"), ord_.alias("ord"), F.when(ord_ == 0, "API_SUMMARY").when(ord_ == 1, "PRINT_FILE").otherwise("ATTACHMENT").alias("kind"),
         F.when(ord_ == 0, F.lit("개요")).otherwise(name).alias("name"), F.concat(F.lit("https://x.kr/"), k.cast("string")).alias("url"),
         F.when(k % 29 == 0, F.lit(" \n")).when(k % 5 == 4, F.lit("같은 첨부")).when((k % 5 == 3) & (k % 3 == 0), F.lit("같은 첨부")).otherwise(F.col("text")).alias("text"),
@@ -169,7 +169,7 @@ def file_type_check(t):
     magic = F.when(k % 7 == 0, F.lit("00")).when(k % 4 == 0, F.hex(F.lit("x%PDF-1.7"))).when(k % 4 == 1, F.lit("D0CF11E0A1B11AE1")).otherwise(F.lit("504B0304"))
     content = F.concat(F.unhex(magic), F.encode("text", "UTF-8"))
     name = F.concat(k.cast("string"), F.when(k % 4 == 0, F.lit(".PDF")).when(k % 4 == 1, F.lit(".hwp")).when(k % 4 == 2, F.lit(".hwpx ")).otherwise(F.lit(".zip")))
-    return t.documents.groupBy(N.file_type(name, content).alias("file_type")).agg(F.count(F.lit(1)).alias("row_count"))
+    return t.spread("documents").groupBy(N.file_type(name, content).alias("file_type")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query("paired_split", None, """SELECT doc_id, CAST(i AS INTEGER) AS ord, doc_id % 5 <> 0 AS paired, CASE WHEN doc_id % 5 <> 0 THEN 'f' || i || '.pdf' ELSE '' END AS name,
@@ -182,7 +182,7 @@ def paired_split(t):
         F.lit(" https://x.kr/get?"), F.when(i % 2 == 0, F.concat(F.lit("downloadToken=zz&id="), k.cast("string"), F.lit("_"), i.cast("string")))
         .otherwise(F.concat(F.lit("id="), k.cast("string"), F.lit("_"), i.cast("string"), F.lit("&downloadToken=q&v=1"))))), "@")
     names = F.concat(F.array_join(F.transform(idx, lambda i: F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf"))), "@ "), F.when(k % 5 == 0, F.lit("@extra.pdf")).otherwise(F.lit("")))
-    d = t.documents.select("doc_id", paths.alias("paths"), names.alias("names"))
+    d = t.spread("documents").select("doc_id", paths.alias("paths"), names.alias("names"))
     return N.split_files(d, "paths", "names").select("doc_id", "ord", "paired", "name", "url")
 
 
@@ -193,7 +193,7 @@ def paired_split(t):
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 23 = 0 OR doc_id % 19 = 0, doc_id % 701 ORDER BY doc_id) AS rn FROM documents)) GROUP BY 1""")
 def notice_skip(t):
     k = F.col("doc_id")
-    d = t.documents.select(
+    d = t.spread("documents").select(
         (k % 701).alias("notice_id"), k.alias("line"), F.when(k % 23 == 0, F.lit("x")).otherwise(F.concat(F.lit("공고 "), F.substring("text", 1, 40))).alias("name"),
         F.when(k % 19 == 0, F.lit("ftp://x")).otherwise(F.lit("https://x.kr/1")).alias("url"), F.concat(F.lit("org "), F.col("source")).alias("organization"),
         F.when(k % 3 == 0, F.lit("중소기업")).when(k % 3 == 1, F.lit("소상공인, 중소기업")).otherwise(F.lit("창업벤처")).alias("target"),
@@ -218,7 +218,7 @@ cte("f_status", (), f"""SELECT *, CASE WHEN st IS NULL THEN ns WHEN e0 < s0 THEN
 def status_resolve(t):
     k = F.col("doc_id")
     marks = F.array(*[F.lit(x) for x in ("접수중", "접수 중", "접수마감", "예정", "접수중")])
-    d = t.documents.select(
+    d = t.spread("documents").select(
         "doc_id", F.when(k % 6 != 0, F.get(marks, (k % 6 - 1).cast("int"))).alias("card_status"),
         F.concat(F.lit(" 접수 기간 : "), period_text(k % 8, day_of(k))).alias("card_period"),
         period_text(F.floor(k / 8) % 8, day_of(k + k % 3 % 2)).alias("notice_period"))
@@ -231,7 +231,7 @@ def status_downgrade(t):
     k = F.col("page_id")
     status = F.get(F.array(F.lit("OPEN"), F.lit("CLOSED"), F.lit("UNKNOWN")), (k % 3).cast("int"))
     lines = F.array_append(TX.html_to_lines(F.col("html")), F.when(k % 2 == 0, F.lit("제외: 음식점업")).otherwise(F.lit("제외 없음")))
-    return t.pages.select("page_id", N.downgrade_status(status, lines).alias("status"))
+    return t.spread("pages").select("page_id", N.downgrade_status(status, lines).alias("status"))
 
 
 # ---------------------------------------------------------------- funds
@@ -271,7 +271,7 @@ def f_quotes(t: Tables) -> DataFrame:
     """Per document: a true quote, an altered one, a short one, one across title and body, one of a benchmark item."""
     txt = F.col("text")
     items = t.benchmark.select(F.col("item_id"), F.substring("text", 1, 80).alias("item"))
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    d = t.spread("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     j = d.join(items, "item_id", "left")
     q = F.array(
         F.struct(F.lit("true").alias("field"), F.substring(txt, 50, 60).alias("quote")),
@@ -285,7 +285,7 @@ def f_quotes(t: Tables) -> DataFrame:
 
 
 def _titles(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.concat(F.lit("제목 공고 "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"))
+    return t.spread("documents").select("doc_id", F.concat(F.lit("제목 공고 "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"))
 
 
 _CQ = r"regexp_replace({0}, '\s+', '', 'g')"
@@ -307,7 +307,7 @@ def quote_verify(t):
 def quote_compact(t):
     """Compaction with compatibility folding of whole texts, after widening some characters."""
     wide = F.translate("text", "aeo. ", "ａｅｏ．　")
-    return t.documents.select("doc_id", F.length(TX.compact_quote(wide)).alias("chars"),
+    return t.spread("documents").select("doc_id", F.length(TX.compact_quote(wide)).alias("chars"),
                               (TX.compact_quote(wide) == TX.compact_quote(F.col("text"))).alias("same"))
 
 
@@ -330,7 +330,7 @@ def f_answers(t: Tables) -> DataFrame:
         return out.otherwise(F.array().cast("array<string>"))
 
     num = lambda c: c.cast("double")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", pick((*V.STAGES, "ANY"), 4).alias("stage"), pick((*V.FOOD, "MAYBE"), 3).alias("food"),
         F.when(k % 5 != 0, num(k % 7)).alias("b_min"), F.when(k % 6 != 0, num(k % 9)).alias("b_max"), (k % 2 == 0).alias("b_excl"),
         F.when(k % 4 != 0, num(k % 40) + F.when(k % 13 == 0, 0.5).otherwise(0.0)).alias("a_min"), F.when(k % 7 != 0, num(k % 130)).alias("a_max"), (k % 3 == 0).alias("a_excl"),
@@ -383,7 +383,7 @@ def value_checks(t):
  WHEN length(text) > 3000 THEN 'TOO_LONG' ELSE 'TO_DO' END AS work FROM documents) GROUP BY 1""")
 def extract_worklist(t):
     k = F.col("doc_id")
-    d = t.documents.select(k.alias("product_key"), F.sha2("text", 256).alias("text_checksum"), "text")
+    d = t.spread("documents").select(k.alias("product_key"), F.sha2("text", 256).alias("text_checksum"), "text")
     p = F.col("product_key")
     cache = d.where(p % 2 == 0).select("product_key", "text_checksum", F.lit("m1").alias("model"), F.when(p % 3 == 0, "v2").otherwise("v1").alias("prompt_version"))
     odd = d.where(p % 3 == 0).select("product_key", "text_checksum", F.lit("m1").alias("model"), F.lit("v2").alias("prompt_version"))

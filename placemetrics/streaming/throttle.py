@@ -19,7 +19,8 @@ from placemetrics.session import cut
 
 
 def millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    """Whole milliseconds since 1970 on the clock of the column, whatever the session's time zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def anchors(times: DataFrame, key: str, window_ms: int) -> DataFrame:
@@ -101,10 +102,14 @@ def throttle_stream(events: DataFrame, limit: int, window_ms: int, delay: str =
             ok = count <= limit
             rows.append((key[0], int(event), start, ok, None if ok else max(1, -(-(start + window_ms - int(t)) // 1000))))
         state.update((start, min(count, limit)))
+        # a window past its end holds nothing that matters; the timeout may only lie ahead of the watermark
         state.setTimeoutTimestamp(max(start + window_ms, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(rows, columns=[f.name for f in OUT.fields])
         out["retry_after"] = out["retry_after"].astype("Int64")
         yield out
 
-    e = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", millis(F.col("ts")).alias("t"))
+    # times on the clock of the watermark, which the state timeout is compared with
+    instant = F.col("ts").cast("timestamp")
+    timed = events.select("user_id", "event_id", instant.alias("ts"), F.unix_millis(instant).alias("t"))
+    e = timed.withWatermark("ts", delay)
     return e.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", "EventTimeTimeout")
