@@ -63,6 +63,11 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Seque
     if bounds is None:
         df = cut(df)        # read for the split points, the range totals and the ranges
         bounds = range_bounds(df, value, ranges)
+    if not bounds:          # few distinct values: one range holds them all
+        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        everything = Window.partitionBy(*by)
+        return df.select("*", *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures],
+                         *[F.sum(m).over(everything).alias(f"total_{m}") for m in measures])
     ranged = df.withColumn("_range", range_of(F.col(value), bounds))
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_r_{m}") for m in measures])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,6 +122,7 @@ def competition_rank(df: DataFrame, by: Sequence[str], score: str, keep: str = "
     Scores are whole numbers from 0 to 100, so ranks are computed on at most 101 distinct
     scores per group and joined back; no range cut is needed.
     """
+    df = cut(df)        # read for the counts and joined back to the ranks
     counts = value_counts(df, by, score)
     cum = running_totals(counts, by, score, ["n"], bounds=[])
     ranks = cum.select(*by, score, (F.col("total_n") - F.col("cum_n") + 1).alias(keep),

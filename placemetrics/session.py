@@ -29,10 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) a temporary folder is set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="placemetrics-")
-        spark.sparkContext.setCheckpointDir(path)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
