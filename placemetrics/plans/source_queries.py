@@ -52,10 +52,10 @@ def f_pages(t: Tables) -> DataFrame:
     return j.select("part", "page", F.when((F.col("part") == 3) & last, F.lit("<html>")).otherwise(body).alias("body"))
 
 
-@query("paged_json_complete", None, """SELECT part, CASE part WHEN 5 THEN 'ERROR-300' WHEN 3 THEN 'NOT_JSON' END AS error_code, CASE WHEN part = 7 THEN n + 1 ELSE n END AS total,
+@query("paged_json_complete", None, """SELECT part, CASE part WHEN 5 THEN 'ERROR-300' WHEN 3 THEN 'NOT_JSON' END AS error_code, CASE WHEN part = 7 THEN n + 1 WHEN part = 3 AND pages = 1 THEN NULL ELSE n END AS total,
  CASE WHEN part = 5 THEN n WHEN part = 3 THEN n - lastn WHEN part = 9 THEN n - 1 ELSE n END AS row_count,
- CASE part WHEN 3 THEN 'ERROR_CODE' WHEN 5 THEN 'ERROR_CODE' WHEN 7 THEN 'TOTAL_CHANGED' WHEN 9 THEN 'INCOMPLETE' ELSE 'OK' END AS outcome FROM (
- SELECT part, count(*) AS n, count(*) FILTER (page = last) AS lastn FROM (SELECT *, max(page) OVER (PARTITION BY part) AS last FROM (
+ CASE part WHEN 3 THEN 'ERROR_CODE' WHEN 5 THEN 'ERROR_CODE' WHEN 7 THEN CASE WHEN pages > 1 THEN 'TOTAL_CHANGED' ELSE 'INCOMPLETE' END WHEN 9 THEN 'INCOMPLETE' ELSE 'OK' END AS outcome FROM (
+ SELECT part, count(*) AS n, count(DISTINCT page) AS pages, count(*) FILTER (page = last) AS lastn FROM (SELECT *, max(page) OVER (PARTITION BY part) AS last FROM (
   SELECT o_orderkey // 100 AS page, o_orderkey // 100 % 12 AS part FROM orders)) GROUP BY 1)""".replace("CASE WHEN part = 5 THEN n WHEN part = 3", "CASE WHEN part IN (3, 5)"))
 def paged_json_complete(t):
     parsed = PG.parse_pages(f_pages(t), "id bigint, cust bigint, prio string")
