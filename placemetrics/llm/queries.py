@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +25,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op9_codec, op10_packing)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm import langid
+    from placemetrics.llm.quality import held_out
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(4, 2)
+    predicted = langid.predict(docs, langid.train(docs.where(F.col("doc_id").isNotNull() & ~out)))
+    return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm.merkle import compare_with_edits
+    return compare_with_edits(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm import quality
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out(5, 0)
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~out))
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm import secret_scan
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_language, op6_fingerprints, op7_quality, op8_secrets, op9_codec, op10_packing)}
 ORACLE: dict[str, str] = {}
