@@ -387,3 +387,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
     renamed = linked.join(least, "component").select("class", "least")
     final = names.join(renamed, "class", "left").select("class", F.coalesce("least", "first").alias("component_id"))
     return found.join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The documents whose id names their component, with all columns and one row for each id.
+
+    Rows with a null id cannot be named as anyone's copy and stay.
+    """
+    found = jaccard_components(spark, docs.where("doc_id IS NOT NULL"), n, percent)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import labelled_texts
-from placemetrics.llm.words import WordRows, batches, sums
+from placemetrics.llm.words import WordRows, batches, keep_rows, sums
 
 SAMPLE = 12_000
 PAIRS_PER_ROW = 8
@@ -163,3 +163,12 @@ def keep_threshold(scored: DataFrame, low_share: float, most: float = PREDICT_AT
     """Score that the low share of all documents lies under, but not above `most`; 0 for an empty table."""
     value = scored.agg(F.percentile_approx("score", low_share, 100_000)).first()[0]
     return min(value or 0.0, most)
+
+
+def good(docs: DataFrame, model: Ranking, threshold: float) -> DataFrame:
+    """The documents that score the threshold or more, with all their columns."""
+    def decide():
+        rows = WordRows(word_traits)
+        return lambda texts: model.probability(text_features(texts, rows)).round(9) >= threshold
+
+    return keep_rows(docs, decide)

@@ -25,6 +25,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm.jaccard_join import jaccard_components
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placemetrics.llm import toxicity
     docs = table(spark, sf_dir, "documents")
@@ -40,6 +45,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placemetrics.llm.nn_descent import near_duplicates
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placemetrics.llm.merkle import compare_with_edits
     return compare_with_edits(spark, table(spark, sf_dir, "documents"))
@@ -59,5 +69,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_language, op6_fingerprints, op7_quality, op8_secrets, op9_codec, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_token_counts, op4_language, op5_near_vectors, op6_fingerprints, op7_quality, op8_secrets, op9_codec, op10_packing)}
 ORACLE: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import labelled_texts
-from placemetrics.llm.words import WordRows, batches, sums
+from placemetrics.llm.words import WordRows, batches, keep_rows, sums
 
 SAMPLE = 6_000
 BITS = 20
@@ -142,26 +142,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     return Ordinal(weights, found.thresholds)
 
 
-def score(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), p_toxic, toxic for every row."""
-    session = docs.sparkSession
+class Scorer:
+    """Linear scores of whole texts under a model."""
+
+    def __init__(self, model: Ordinal) -> None:
+        self.model = model
+        self.rows = WordRows(lambda words: model.weights[features_of(words)].sum(axis=1))
+
+    def above(self, texts: list[str]) -> np.ndarray:
+        linear = np.zeros(len(texts))
+        for s in batches(texts):
+            split = [_distinct(t) for t in texts[s]]
+            linear[s] = sums(self.rows.get([w for ws in split for w in ws]), np.fromiter(map(len, split), np.int64))
+        return self.model.above(linear)
+
+
+def shared_model(docs: DataFrame, model: Ordinal):
+    """The model for tasks: its few weights that are not zero are sent once to each executor."""
     used = np.flatnonzero(model.weights)
-    shared = session.sparkContext.broadcast((used, model.weights[used], model.thresholds))
+    shared = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer() -> Scorer:
         at, weight, thresholds = shared.value
         weights = np.zeros(1 << BITS)
         weights[at] = weight
-        own = Ordinal(weights, thresholds)
-        rows = WordRows(lambda words: weights[features_of(words)].sum(axis=1))
+        return Scorer(Ordinal(weights, thresholds))
+
+    return scorer
+
+
+def score(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """doc_id, severity (expected grade), grade (likeliest), p_toxic, toxic for every row."""
+    scorer = shared_model(docs, model)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = scorer()
         for part in parts:
-            texts = part["text"].fillna("").tolist()
-            linear = np.zeros(len(texts))
-            for s in batches(texts):
-                split = [_distinct(t) for t in texts[s]]
-                linear[s] = sums(rows.get([w for ws in split for w in ws]), np.fromiter(map(len, split), np.int64))
-            p = own.above(linear)
+            p = own.above(part["text"].fillna("").tolist())
             yield pd.DataFrame({"doc_id": part["doc_id"], "severity": p.sum(axis=1).round(9), "grade": (p > 0.5).sum(axis=1), "p_toxic": p[:, 0].round(9), "toxic": p[:, 0] >= toxic_at})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+
+
+def clean(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """The documents that are not toxic, with all their columns."""
+    scorer = shared_model(docs, model)
+
+    def decide():
+        own = scorer()
+        return lambda texts: own.above(texts)[:, 0] < toxic_at
+
+    return keep_rows(docs, decide)

@@ -73,3 +73,14 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     np.cumsum(values, axis=0, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def keep_rows(docs, decide: Callable[[], Callable[[list[str]], np.ndarray]]):
+    """The rows of documents, all columns, whose text (null: empty) the decision made in each task keeps."""
+    def run(parts):
+        import pyarrow as pa
+        keeps = decide()
+        for part in parts:
+            yield part.filter(pa.array(keeps([t or "" for t in part.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
