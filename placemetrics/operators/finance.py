@@ -31,8 +31,8 @@ OPENING = {"deposit": "openingExpenses.deposit", "facilities": "openingExpenses.
 FIXED = {"rent": "monthlyFixedCosts.rent", "labor": "monthlyFixedCosts.labor", "other": "monthlyFixedCosts.other"}
 LOAN_TERMS = {"annual_rate": "newLoan.annualInterestRatePercent", "total_months": "newLoan.totalMonths",
               "grace_months": "newLoan.graceMonths", "repayment_method": "newLoan.repaymentMethod"}
-MICRO = 1_000_000
-INTEREST_DIVISOR = 1200 * MICRO       # percent per year, in millionths, per month
+RATE_UNIT = 10 ** 18                  # rates are whole numbers of this part: every accepted digit counts
+INTEREST_DIVISOR = 1200 * RATE_UNIT   # percent per year, per month
 
 
 # ---------------------------------------------------------------- results
@@ -86,13 +86,13 @@ def funding_totals(plans: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- loans
 
 @F.pandas_udf(T.LongType())
-def annuity_payment(principal: pd.Series, rate_micro: pd.Series, months: pd.Series) -> pd.Series:
+def annuity_payment(principal: pd.Series, rate_units: pd.Series, months: pd.Series) -> pd.Series:
     """Equal monthly payment at 50 digits, half up. Growth factors outgrow DECIMAL(38); one call per plan."""
     factors: dict = {}
     out = []
     with localcontext() as ctx:
         ctx.prec = 50
-        for p, r, n in zip(principal, rate_micro, months):
+        for p, r, n in zip(principal, rate_units, months):
             if pd.isna(p) or pd.isna(r) or pd.isna(n) or n <= 0:
                 out.append(None)
                 continue
@@ -105,12 +105,14 @@ def annuity_payment(principal: pd.Series, rate_micro: pd.Series, months: pd.Seri
     return pd.Series(out, dtype="Int64")
 
 
-def _interest(remaining: Column, rate_micro: Column) -> Column:
-    """``remaining * rate / 1200`` half up in 64-bit integers: quotient and rest are taken apart first."""
-    d = F.lit(INTEREST_DIVISOR).cast("bigint")
-    q = F.call_function("div", remaining, d)
-    rest = (remaining - q * d) * rate_micro
-    return q * rate_micro + F.call_function("div", rest * 2 + d, d * 2)
+def rate_units(rate: Column) -> Column:
+    """A rate as a whole number of units of 10^-18, exact for every accepted text."""
+    return (rate.cast("decimal(21,18)") * F.lit(RATE_UNIT).cast("decimal(19,0)")).cast("decimal(21,0)")
+
+
+def _interest(remaining: Column, rate: Column) -> Column:
+    """``remaining * rate / 1200``, half up."""
+    return half_up_div(remaining.cast("decimal(17,0)") * rate, F.lit(str(INTEREST_DIVISOR)).cast("decimal(22,0)"))
 
 
 def with_loan(plans: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def with_loan(plans: DataFrame) -> DataFrame:
     missing = F.when(no_loan, F.array().cast("array<string>")).otherwise(_missing(LOAN_TERMS))
     bad_term = F.col("grace_months") >= F.col("total_months")
     status = result(missing, F.lit(None).cast("bigint"), ~no_loan & F.coalesce(bad_term, F.lit(False)), "GRACE_NOT_BELOW_TERM")
-    rate = (F.col("annual_rate").cast("decimal(18,6)") * MICRO).cast("bigint")
+    rate = rate_units(F.col("annual_rate"))
     repay = (F.col("total_months") - F.col("grace_months")).cast("bigint")
     df = plans.select("*", status.alias("loan"), no_loan.alias("_none"), rate.alias("_rate"), repay.alias("_repay"))
     live = ~F.col("_none") & (F.col("loan.status") == "READY")
@@ -194,11 +196,11 @@ def expand_scenarios(totals: DataFrame, templates: Sequence[tuple[str, int, int,
     def percent(c: Column, p: Column) -> Column:
         return half_up_div(wide(c) * (p + 100), F.lit(100))
 
-    rate = (F.col("variable_cost_rate").cast("decimal(18,6)") * MICRO).cast("bigint")
+    rate = rate_units(F.col("variable_cost_rate"))
     return d.withColumns({
         "scenario": F.col("_t.name"), "s_revenue": percent(F.col("monthly_revenue"), F.col("_t.rev")),
         "s_fixed": percent(F.col("fixed_cost_total.value"), F.col("_t.fix")),
-        "s_rate_micro": F.greatest(F.lit(0).cast("bigint"), rate + F.col("_t.var") * (MICRO // 100))}).drop("_t")
+        "s_rate": F.greatest(F.lit(0).cast("decimal(22,0)"), (rate + F.col("_t.var").cast("bigint") * (RATE_UNIT // 100)).cast("decimal(22,0)"))}).drop("_t")
 
 
 def break_even(scenarios: DataFrame) -> DataFrame:
@@ -212,11 +214,11 @@ def break_even(scenarios: DataFrame) -> DataFrame:
     debt = _missing({"existing_debt_payment": "existingMonthlyDebtPayment"})
     operating = F.concat(rev, fixed_missing, var)
     even = F.concat(fixed_missing, var)
-    too_high = F.coalesce(F.col("s_rate_micro") >= MICRO, F.lit(False))
+    too_high = F.coalesce(F.col("s_rate") >= RATE_UNIT, F.lit(False))
     loan_bad = F.col("loan.status") == "UNSUPPORTED"
     loan_missing = F.coalesce(F.col("loan.missing_fields"), F.array().cast("array<string>"))
-    margin = F.lit(MICRO) - F.col("s_rate_micro")
-    gross = wide(F.col("s_revenue")) * margin                        # millionths of a won
+    margin = F.lit(RATE_UNIT) - F.col("s_rate")
+    gross = wide(F.col("s_revenue")) * margin                        # parts of 10^-18 of a won
     fixed, first = F.col("s_fixed"), F.col("first_payment")
     old = F.col("existing_debt_payment")
     positive = F.when(margin > 0, margin)
@@ -228,35 +230,45 @@ def break_even(scenarios: DataFrame) -> DataFrame:
         return result(miss, value, too_high | loan_bad, reason)
 
     return scenarios.withColumns({
-        "operating_balance": result(operating, half_up_div(gross - wide(fixed) * MICRO, F.lit(MICRO)), too_high, "RATE_AT_LEAST_100"),
-        "operating_break_even": result(even, half_up_div(wide(fixed) * MICRO, positive), too_high, "RATE_AT_LEAST_100"),
-        "debt_break_even": with_debt(F.concat(even, debt), half_up_div(wide(fixed + old + first) * MICRO, positive)),
+        "operating_balance": result(operating, half_up_div(gross - wide(fixed) * RATE_UNIT, F.lit(RATE_UNIT)), too_high, "RATE_AT_LEAST_100"),
+        "operating_break_even": result(even, half_up_div(wide(fixed) * RATE_UNIT, positive), too_high, "RATE_AT_LEAST_100"),
+        "debt_break_even": with_debt(F.concat(even, debt), half_up_div(wide(fixed + old + first) * RATE_UNIT, positive)),
         "first_month_cash": with_debt(F.concat(operating, debt),
-                                      half_up_div(gross - wide(fixed + old + first) * MICRO, F.lit(MICRO)))})
+                                      half_up_div(gross - wide(fixed + old + first) * RATE_UNIT, F.lit(RATE_UNIT)))})
 
 
 def cash_runway(even: DataFrame) -> DataFrame:
-    """Closing balance of every month and the first negative one, per plan and scenario.
+    """Cash by month and the first negative month, per plan and scenario.
 
-    The balance after m months is ``opening + m * monthly margin - loan payments so far``; the
-    payments so far are carried by the schedule, so no window over months is needed.
+    ``cash_balances`` has, for every month, the loan payment, the cash left after debt and the closing
+    balance. The balance after m months is ``opening + m * monthly margin - loan payments so far``; the
+    payments so far are carried by the schedule, so no window over months is needed. What stands in the
+    way is told in this order: missing inputs, a rate of 100 % or more, the opening cash, the loan.
     """
-    ready = (F.col("first_month_cash.status") == "READY") & (F.col("opening_cash.status") == "READY")
-    base = wide(F.col("s_revenue")) * (F.lit(MICRO) - F.col("s_rate_micro")) - wide(F.col("s_fixed") + F.col("existing_debt_payment")) * MICRO
-    last = F.coalesce(F.get("schedule", F.size("schedule") - 1)["paid"], F.lit(0).cast("bigint"))
+    empty = F.array().cast("array<string>")
+    own = F.concat(_missing({"monthly_revenue": "monthlyRevenue"}), _missing(FIXED), _missing({"variable_cost_rate": "variableCostRate"}),
+                   _missing({"existing_debt_payment": "existingMonthlyDebtPayment"}))
+    too_high = F.coalesce(F.col("s_rate") >= RATE_UNIT, F.lit(False))
+    status = (F.when(F.size(own) > 0, "INSUFFICIENT_INPUT").when(too_high, "UNSUPPORTED")
+              .when(F.col("opening_cash.status") != "READY", F.col("opening_cash.status")).otherwise(F.col("loan.status")))
+    missing = (F.when(F.size(own) > 0, own).when(too_high, empty).when(F.col("opening_cash.status") != "READY", F.col("opening_cash.missing_fields"))
+               .otherwise(F.col("loan.missing_fields")))
+    reason = F.when(status == "UNSUPPORTED", F.when(too_high, F.lit("RATE_AT_LEAST_100")).otherwise(F.col("loan.reason")))
+    base = wide(F.col("s_revenue")) * (F.lit(RATE_UNIT) - F.col("s_rate")) - wide(F.col("s_fixed") + F.col("existing_debt_payment")) * RATE_UNIT
+    zero = F.lit(0).cast("bigint")
+    last = F.coalesce(F.get("schedule", F.size("schedule") - 1)["paid"], zero)
 
-    def closing(m: Column) -> Column:
+    def month(m: Column) -> Column:
         paid = F.coalesce(F.get("schedule", m - 1)["paid"], last)
-        cents = wide(F.col("opening_cash.value")) * MICRO + base * m - wide(paid) * MICRO
-        return F.struct(m.alias("month"), half_up_div(cents, F.lit(MICRO)).alias("closing"))
+        payment = F.coalesce(F.get("schedule", m - 1)["payment"], zero)
+        units = wide(F.col("opening_cash.value")) * RATE_UNIT + base * m - wide(paid) * RATE_UNIT
+        return F.struct(m.alias("month"), payment.alias("loan_payment"), half_up_div(base - wide(payment) * RATE_UNIT, F.lit(RATE_UNIT)).alias("after_debt"),
+                        half_up_div(units, F.lit(RATE_UNIT)).alias("closing"))
 
-    months = F.when(ready, F.transform(F.sequence(F.lit(1), F.col("cash_months").cast("int")), closing))
-    df = even.withColumn("cash_balances", months)
+    df = even.withColumns({"cash_status": status, "cash_missing": F.coalesce(missing, empty), "cash_reason": reason})
+    df = df.withColumn("cash_balances", F.when(F.col("cash_status") == "READY", F.transform(F.sequence(F.lit(1), F.col("cash_months").cast("int")), month)))
     negative = F.get(F.filter("cash_balances", lambda r: r["closing"] < 0), F.lit(0))["month"]
-    return df.withColumns({
-        "cash_status": F.when(ready, "READY").when(F.col("first_month_cash.status") != "READY", F.col("first_month_cash.status"))
-        .otherwise(F.col("opening_cash.status")),
-        "first_negative_month": negative})
+    return df.withColumn("first_negative_month", negative)
 
 
 # ---------------------------------------------------------------- inputs and keys

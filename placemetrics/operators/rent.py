@@ -30,11 +30,11 @@ def lookup(code: Column, table: Mapping[str, str]) -> Column:
 
 def parse_rent(rows: DataFrame, table_defs: DataFrame, root: str, ignored_items: Sequence[str] = (),
                floor_names: Mapping[str, str] = FLOOR_NAMES) -> DataFrame:
-    """Source rows -> observations with an ``issue``; OUT_OF_SCOPE and IGNORED rows are marked too.
+    """Source rows -> observations with an ``issue``; rows of no defined table, OUT_OF_SCOPE and IGNORED rows are marked too.
 
     ``table_defs``: table_id, building, metric, item, unit (one row per source table).
     """
-    j = rows.join(table_defs, "table_id")
+    j = rows.join(table_defs, "table_id", "left")
     floor_table = F.col("metric") == "FLOOR_RENT"
     path = F.trim(F.when(floor_table, F.col("group_name")).otherwise(F.col("class_name_full")))
     parts = F.split(path, ">")
@@ -49,7 +49,7 @@ def parse_rent(rows: DataFrame, table_defs: DataFrame, root: str, ignored_items:
                    quarter.alias("quarter"), floor.alias("floor"), value.alias("value"), blank.alias("_blank"))
     in_scope = (F.col("region_path") == root) | F.col("region_path").startswith(f"{root}>")
     reason = first_reason([
-        ("OUT_OF_SCOPE", missing_or(in_scope)),
+        ("UNKNOWN_TABLE", F.col("metric").isNull()), ("OUT_OF_SCOPE", missing_or(in_scope)),
         ("IGNORED_ITEM", (F.col("metric") == "FLOOR_RENT") & F.col("item_name").isin(*ignored_items)),
         ("UNEXPECTED_ITEM", ~F.col("item_name").eqNullSafe(F.col("item"))),
         ("UNEXPECTED_UNIT", ~F.col("unit_name").eqNullSafe(F.col("unit"))),

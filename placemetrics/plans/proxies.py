@@ -30,12 +30,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: dealt out to all cores when it is one small file.
-
-        A table with at least as many splits as cores is left as it is, without a shuffle.
-        """
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        """A table for work that is heavy per row, dealt out to as many tasks as a shuffle has."""
+        return getattr(self, name).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def industry_no(segment: Column) -> Column:

@@ -110,11 +110,13 @@ def source_manifest(t):
 
 @query("src_header_map", None, """SELECT segment, count(*) AS row_count FROM (SELECT CASE WHEN c_custkey % 50 = 3 THEN 'ROW_WIDTH' ELSE c_mktsegment END AS segment FROM customer) GROUP BY 1""")
 def src_header_map(t):
-    """Customers written as delimited text under other column names, every 50th row too wide, read back by name."""
+    """Customers written as delimited text under other column names, in two orders of columns, every 50th row too wide, read back by name."""
     path = _new_dir(t, "csv")
     k = F.col("c_custkey")
     line = F.concat_ws(",", k.cast("string"), "c_name", "c_mktsegment", F.when(k % 50 == 3, F.lit("extra")))
-    t.customer.select(line.alias("고객_코드,이름,업종")).write.option("header", "true").option("sep", "|").csv(path)
+    other = F.concat_ws(",", "c_mktsegment", k.cast("string"), "c_name", F.when(k % 50 == 3, F.lit("extra")))
+    t.customer.where(k % 2 == 0).select(line.alias("고객_코드,이름,업종")).write.option("header", "true").option("sep", "|").csv(path)
+    t.customer.where(k % 2 == 1).select(other.alias("업종,고객_코드,이름")).write.mode("append").option("header", "true").option("sep", "|").csv(path)
     rows, bad = TB.read_versioned(t.spark, path, TB.TableSchema({"이름": "name", "고객_코드": "custkey", "업종": "segment"}))
     good = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("row_count"))
     return good.unionByName(bad.groupBy(F.col("code").alias("segment")).agg(F.count(F.lit(1)).alias("row_count")))
@@ -203,21 +205,22 @@ def throttle_audit(t):
     return TH.throttle_audit(t.events, LIMIT, WINDOW_MS)
 
 
-@query("stream_increment")
+@query("stream_increment", ["f_sales"], "SELECT count(*) AS active_rows, CAST(sum(sales_amount) AS BIGINT) AS active_amount, CAST(3 AS BIGINT) AS releases FROM f_sales WHERE sales_amount >= 0")
 def stream_increment(t):
-    """Two landings of panel rows, the second of them twice; the releases the stream leaves."""
+    """Three landings of panel rows, the second of them twice; the rows of the ACTIVE release, which are all that landed."""
     base = _new_dir(t, "stream")
     store = R.Store(t.spark, f"{base}/store", "panel")
     panel = X.f_sales_keyed(t).persist()
     schema = panel.schema
     try:
-        for i, cond in enumerate(("quarter_idx < 7995", "quarter_idx >= 7995", "quarter_idx >= 7995")):
-            panel.where(cond).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        for cond in ("quarter_idx < 7990", "quarter_idx >= 7990 AND quarter_idx < 7998", "quarter_idx >= 7990 AND quarter_idx < 7998", "quarter_idx >= 7998"):
+            panel.where(cond).write.mode("append").parquet(f"{base}/landing")
             landing = t.spark.readStream.schema(schema).parquet(f"{base}/landing")
             J.stream_panel(landing, store, f"{base}/checkpoint", lambda d: d.where("sales_amount >= 0")).awaitTermination()
     finally:
         panel.unpersist()
-    return store.releases().select("release_key", "status", "row_count")
+    active = store.read_active().agg(F.count(F.lit(1)).alias("active_rows"), F.sum("sales_amount").alias("active_amount"))
+    return active.crossJoin(store.releases().agg(F.count(F.lit(1)).alias("releases")))
 
 
 @query("source_freshness", None, """SELECT source, CAST(max(ts) AS DATE) AS last_succeeded_on, CAST(max(ts) AS DATE) + 3 >= DATE '2024-01-28' + CAST(length(source) AS INTEGER) AS fresh FROM (SELECT event_type AS source, ts FROM events) GROUP BY 1""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,13 @@ def local_session(name: str = "placemetrics", cpus: str | int = 8) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: the cluster's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine (master ``local``), where the session names none, a temporary folder is set.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="placemetrics-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)

@@ -87,13 +87,16 @@ class Store:
         except Exception as e:
             # the new rows go; the record of the failure stays
             self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
-            self._append(key, "FAILED", path, reason=str(e)[:2000])
+            self._append(key, "FAILED", path, reason=str(e))
             if isinstance(e, PublishFailed):
                 raise
-            raise PublishFailed(str(e)[:2000]) from e
+            raise PublishFailed(str(e)) from e
         self._append(key, "ACTIVE", path, rows)
         return "PUBLISHED"
 
+    def has_active(self) -> bool:
+        return not self.releases().where("status = 'ACTIVE'").isEmpty()
+
     def read_active(self) -> DataFrame:
         """Rows of the ACTIVE release; raises when there is none."""
         row = self.releases().where("status = 'ACTIVE'").select("path").first()

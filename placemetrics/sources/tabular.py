@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,31 +36,41 @@ def check_header(found: Sequence[str], schema: TableSchema) -> None:
         raise HeaderMismatch(f"duplicate {duplicate}, missing {missing}, unexpected {extra}")
 
 
-def read_header(spark: SparkSession, path: str, schema: TableSchema) -> list[str]:
-    """First line of the first file, split by Spark's own CSV reader."""
-    raw = (spark.read.option("header", "false").option("encoding", schema.encoding).option("sep", schema.separator)
-                .csv(path).limit(1).collect())
-    return [v for v in raw[0] if v is not None] if raw else []
+def read_headers(spark: SparkSession, path: str, schema: TableSchema) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files that begin with it. Every file of the folder is asked for its own first line."""
+    lines = (spark.read.option("header", "false").option("encoding", schema.encoding).option("sep", "\u0001").option("quote", "")
+             .schema("line string").csv(path).select("line", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")))
+    # a file's first split holds its first line, and row numbers ascend inside a split
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("line", "at").alias("line"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file_path").collect():
+        names = next(csv.reader([row["line"]], delimiter=schema.separator))
+        out.setdefault(tuple(c.strip().lstrip("\ufeff") for c in names), []).append(row["file_path"])
+    return out
 
 
 def read_versioned(spark: SparkSession, path: str, schema: TableSchema) -> tuple[DataFrame, DataFrame]:
     """Rows under canonical names, all text, and the rows of wrong width.
 
-    The file's header must be exactly the recorded set, in any order.
+    The header of every file must be exactly the recorded set, in any order; files of one order are
+    read together.
     """
-    header = read_header(spark, path, schema)
-    check_header(header, schema)
-    names = [c.strip().lstrip("﻿") for c in header]
-    fields = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(fields).option("header", "true").option("encoding", schema.encoding)
-          .option("sep", schema.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          # a pruned parse would not see that a row is too wide
-          .option("columnPruning", "false").option("enforceSchema", "true").csv(path))
-    canonical = [F.col(c).alias(schema.columns[c]) for c in names]
-    # the reader wants another column next to the corrupt-record one in every query
-    broken = F.col(CORRUPT).isNotNull() | (F.length(names[0]) < 0)
-    bad = df.where(broken).select(F.lit("ROW_WIDTH").alias("code"), F.col(CORRUPT).alias("detail"))
-    return df.where(F.col(CORRUPT).isNull()).select(*canonical), bad
+    rows = bad = None
+    for names, files in read_headers(spark, path, schema).items():
+        check_header(names, schema)
+        fields = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField(CORRUPT, T.StringType())])
+        df = (spark.read.schema(fields).option("header", "true").option("encoding", schema.encoding)
+              .option("sep", schema.separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              # a pruned parse would not see that a row is too wide
+              .option("columnPruning", "false").option("enforceSchema", "true").csv(files))
+        # the reader wants another column next to the corrupt-record one in every query
+        broken = F.col(CORRUPT).isNotNull() | (F.length(names[0]) < 0)
+        wide = df.where(broken).select(F.lit("ROW_WIDTH").alias("code"), F.col(CORRUPT).alias("detail"))
+        good = df.where(F.col(CORRUPT).isNull()).select(*[F.col(src).alias(dst) for src, dst in schema.columns.items()])
+        rows, bad = (good, wide) if rows is None else (rows.unionByName(good), bad.unionByName(wide))
+    if rows is None:
+        raise HeaderMismatch(f"no file with a header in {path}")
+    return rows, bad
 
 
 def union_years(parts: Sequence[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:

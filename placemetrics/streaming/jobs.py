@@ -12,28 +12,35 @@ from placemetrics.functions.hashing import multiset_fingerprint
 from placemetrics.sources.release import Store
 
 FRESH_DAYS = 3
+INCREMENT = "increment_key"
 
 
 def content_key(df: DataFrame, prefix: str = "r") -> str:
     """Release key out of the rows themselves: the same content gives the same key."""
     row = multiset_fingerprint(df, sorted(df.columns)).first()
-    return f"{prefix}-{(row['fingerprint'] if row else 'empty')[:16]}"
+    return f"{prefix}-{row['fingerprint'] if row else 'empty'}"
 
 
 def stream_panel(landing: DataFrame, store: Store, checkpoint: str, validate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Publish every micro-batch of landed rows as a release keyed by its content.
+    """Publish, for every micro-batch of landed rows, a release of all rows landed so far.
 
-    A batch that is replayed, or files landed twice, produce a key that is ACTIVE or was
-    released before, and are dropped; so the sink is effectively once.
+    A row of a release names its increment in ``INCREMENT``. A batch that is replayed, or files landed
+    twice, are an increment that the ACTIVE release already holds, and are dropped; so the sink is
+    effectively once. The release's key is that of its whole content.
     """
     def publish(batch: DataFrame, _: int) -> None:
         rows = validate(batch).persist()
         try:
             if rows.isEmpty():
                 return
-            key = content_key(rows)
-            if store.status(key) not in ("ACTIVE", "SUPERSEDED"):
-                store.publish(rows, key)
+            increment = content_key(rows, "i")
+            whole = rows.withColumn(INCREMENT, F.lit(increment))
+            if store.has_active():
+                before = store.read_active()
+                if not before.where(F.col(INCREMENT) == increment).isEmpty():
+                    return
+                whole = before.unionByName(whole)
+            store.publish(whole, content_key(whole))
         finally:
             rows.unpersist()
 
