@@ -13,6 +13,7 @@ counted too. Extra columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,6 +25,10 @@ from placemetrics.llm.bpe import VOCABULARY, load, split_words, vocabulary_file
 from placemetrics.llm.words import WordRows, batches, sums
 
 LIMIT = 2048
+# Fixed value: how the vocabulary's pre-tokeniser splits text into contractions, letters, digits and other signs.
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# Signs on which the two libraries might differ, and the beginning of a special token; such words take the long way.
+UNSURE = re.compile(r"<\||[\x00-\x1f\x7f-\xa0\u00ad²³¹¼½¾]")
 
 
 def byte_symbols() -> list[str]:
@@ -108,8 +113,12 @@ class PrefixTable:
     def pieces(self, word: str) -> list[tuple[str, bool]]:
         """Symbol strings of a word's pieces, and whether each is a special token."""
         low = word.lower()
-        if low.isalpha() and word < "ɐ" and max(low) < "ɐ" and unicodedata.is_normalized("NFC", word):
-            return [("".join(map(self.symbols.__getitem__, low.encode())), False)] if not low.isascii() else [(low, False)]
+        if low.isascii() or (max(low) < "\u0250" and unicodedata.is_normalized("NFC", word)):
+            # Latin words, the most by far, are split here as the library would.
+            if low.isalpha():
+                return [(low if low.isascii() else "".join(map(self.symbols.__getitem__, low.encode())), False)]
+            if not UNSURE.search(low):
+                return [(p if p.isascii() else "".join(map(self.symbols.__getitem__, p.encode())), False) for p in LATIN_PIECES.findall(low)]
         at = min(((word.find(s), s) for s in self.special if s in word), default=None)
         if at:
             return [*(self.pieces(word[:at[0]]) if at[0] else []), (at[1], True), *(self.pieces(word[at[0] + len(at[1]):]) if at[0] + len(at[1]) < len(word) else [])]
