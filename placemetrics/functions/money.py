@@ -31,11 +31,6 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("bigint")
 
 
-def round_half_up_decimal(c: Column, scale: int) -> Column:
-    """Half-up rounding of an exact decimal column."""
-    return F.round(c, scale)
-
-
 def let(value: Column, body) -> Column:
     """``body`` over a value that is computed once per row instead of once per mention."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

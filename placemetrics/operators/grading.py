@@ -208,11 +208,19 @@ def unknown_cases(runs: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     return runs.join(cases.select(key), key, "left_anti")
 
 
-def set_summary(scores: DataFrame, key: str, by: str = "set_name") -> DataFrame:
+def known_cases(runs: DataFrame, cases: DataFrame, key: str) -> DataFrame:
+    """The runs; the job fails at the first one whose case is not in the gold table."""
+    known = runs.join(cases.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    checked = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unknown case "), F.col(key).cast("string"))).cast(runs.schema[key].dataType))
+    return known.withColumn(key, checked).select(*runs.columns)
+
+
+def set_summary(scores: DataFrame, key: str, by: str = "set_name", cases: DataFrame | None = None) -> DataFrame:
     """Mean over case means and the half-width of its 95% interval, per set and metric.
 
-    Runs are averaged within their case first, so a case with many runs does not weigh more.
+    Where the gold table is given, runs of cases it does not have are rejected. Runs are averaged within their case first, so a case with many runs does not weigh more.
     """
+    scores = scores if cases is None else known_cases(scores, cases, key)
     per_case = scores.groupBy(by, key).agg(*[F.avg(m).alias(m) for m in METRICS], F.count(F.lit(1)).alias("_runs"))
     aggs = []
     for m in METRICS:

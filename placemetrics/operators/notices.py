@@ -29,6 +29,7 @@ STRICT_PERIOD = r"^(\d{4}-\d{2}-\d{2})\s*~\s*(\d{4}-\d{2}-\d{2})$"
 SINGLE_DAY_TAIL = r"^\d{1,2}:\d{2}(?:\s*까지)?[\s,.)]*$"
 OPEN_ENDED = "소진|마감|상시|까지"
 CLOSED_WORDS = "마감|종료"
+LOAN_CATEGORY = "정책자금"
 OPEN_WORD = "접수중"
 # Dates are spelled year, month, day, each with its unit word or a dot or dash; the year may be short
 # behind an apostrophe or be missing. Amounts are counts of units, the largest first.
@@ -315,9 +316,9 @@ def fund_id(section: Column, name: Column) -> Column:
     return F.concat(section, F.lit(":"), normal_fund_name(name))
 
 
-def fund_key(section: Column, name: Column) -> Column:
+def fund_key(section: Column, name: Column, prefix: str = "fund-") -> Column:
     kind = F.when(section == "직접대출", "direct").otherwise("agency")
-    return F.concat(F.lit("fund-"), kind, F.lit("-"), F.substring(F.sha2(fund_id(section, name), 256), 1, 10))
+    return F.concat(F.lit(prefix), kind, F.lit("-"), F.substring(F.sha2(fund_id(section, name), 256), 1, 10))
 
 
 def title_matches(fund: Column, title: Column) -> Column:
@@ -326,14 +327,14 @@ def title_matches(fund: Column, title: Column) -> Column:
     return (F.length(fund) > 0) & F.rlike(compact(title), pattern)
 
 
-def latest_notice(funds: DataFrame, notices: DataFrame) -> DataFrame:
-    """Newest matching notice per (section, fund).
+def latest_notice(funds: DataFrame, notices: DataFrame, category: str = LOAN_CATEGORY) -> DataFrame:
+    """Newest matching notice per (section, fund); only notices of the loan category announce a fund.
 
     No fund meets every notice: a matching fund name ends where the allowed suffix starts, so a
     title is cut into the few names it could announce, and those meet the funds in an equi-join.
     """
     f = funds.select("section", "fund_name", normal_fund_name(F.col("fund_name")).alias("_fund")).distinct()
-    n = notices.withColumn("_t", compact(F.col("title"))).where(F.length("_t") > 1)
+    n = notices.withColumn("_t", compact(F.col("title"))).where((F.length("_t") > 1) & (F.col("category") == category))
     ends = F.filter(F.sequence(F.lit(2), F.length("_t")),
                     lambda i: F.substring(F.col("_t"), i, F.length("_t")).rlike("^" + NOTICE_SUFFIX))
     cut = n.withColumn("_end", F.explode(ends)).withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_end") - 1)))

@@ -359,6 +359,13 @@ def is_monotonic(outcomes: DataFrame, min_count: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- evaluation
 
+def served_industries(test: DataFrame, min_auc: float = MIN_TEST_AUC, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Industries whose score ranks survivors (label 0) well enough on the test rows to be shown at all."""
+    ranked = test.select("industry_code", "score", (1 - F.col("label")).alias("survived"))
+    return auc(ranked, ["industry_code"], "score", "survived", bounds=bounds).where(F.col("auc") >= min_auc).select("industry_code")
+
+
+
 def _class_totals(df: DataFrame, by: Sequence[str], score: str, label: str,
                   bounds: Sequence[float] | None) -> DataFrame:
     pairs = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"),

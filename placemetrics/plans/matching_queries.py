@@ -478,7 +478,7 @@ def case_scores(t):
     f"round(avg({m}), 8) AS {m}_mean, round(coalesce(stddev_samp({m}), 0) * 1.96 / sqrt(count({m})), 8) AS {m}_half" for m in G.METRICS)
     + " FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS set_name, doc_id, count(*) AS runs, " + ", ".join(f"avg({m}) AS {m}" for m in G.METRICS) + " FROM f_scores GROUP BY 1, 2) GROUP BY 1")
 def set_summary(t):
-    s = G.set_summary(scored_runs(t), "doc_id")
+    s = G.set_summary(scored_runs(t), "doc_id", cases=t.documents.select("doc_id"))
     return s.select("set_name", "cases", "runs", *[F.round(f"{m}_{x}", 8).alias(f"{m}_{x}") for m in G.METRICS for x in ("mean", "half")])
 
 

@@ -257,11 +257,11 @@ def fund_key(t):
                     N.title_matches(N.normal_fund_name(F.col("fund_name")), F.col("title")).alias("announces"))
 
 
-@query("latest_per_key", None, f"""WITH x AS (SELECT {_SEC} AS section, {_FUND} AS fund, p_partkey AS k, p_partkey % 6 IN (0, 1, 2) AS m FROM part)
+@query("latest_per_key", None, f"""WITH x AS (SELECT {_SEC} AS section, {_FUND} AS fund, p_partkey AS k, p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 <> 0 AS m FROM part)
 SELECT f.section, f.fund, max(n.k) AS seq FROM (SELECT DISTINCT section, fund FROM x) f JOIN x n ON n.m AND n.section = f.section AND ends_with(n.fund, f.fund) GROUP BY 1, 2""")
 def latest_per_key(t):
     f = _fund_rows(t)
-    got = N.latest_notice(f.select("section", "fund_name"), f.select("section", "seq", "title"))
+    got = N.latest_notice(f.select("section", "fund_name"), f.select("section", "seq", "title", F.when(F.col("seq") % 5 == 0, "일반").otherwise(N.LOAN_CATEGORY).alias("category")))
     return got.select("section", N.normal_fund_name(F.col("fund_name")).alias("fund"), "seq").distinct()
 
 
@@ -270,7 +270,7 @@ def latest_per_key(t):
 def f_quotes(t: Tables) -> DataFrame:
     """Per document: a true quote, an altered one, a short one, one across title and body, one of a benchmark item."""
     txt = F.col("text")
-    items = t.benchmark.select(F.col("item_id"), F.substring("text", 1, 80).alias("item"))
+    items = t.benchmark.select(F.col("item_id"), F.col("text").alias("item"))
     d = t.spread("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     j = d.join(items, "item_id", "left")
     q = F.array(
@@ -295,7 +295,7 @@ _CQ = r"regexp_replace({0}, '\s+', '', 'g')"
 WITH d AS (SELECT doc_id, text, {_CQ.format('text')} AS body, '제목공고' || doc_id AS title FROM documents),
 q AS (SELECT doc_id, 'true' AS field, substr(text, 50, 60) AS quote FROM documents UNION ALL SELECT doc_id, 'altered', substr(text, 50, 60) || '§' FROM documents
  UNION ALL SELECT doc_id, 'short', substr(text, 1, 3) FROM documents UNION ALL SELECT doc_id, 'span', '공고' || substr(text, 1, 10) FROM documents
- UNION ALL SELECT doc_id, 'item', substr(b.text, 1, 80) FROM documents d LEFT JOIN benchmark b ON item_id = doc_id % 40 UNION ALL SELECT doc_id, 'title', '제목 공고' FROM documents)
+ UNION ALL SELECT doc_id, 'item', b.text FROM documents d LEFT JOIN benchmark b ON item_id = doc_id % 40 UNION ALL SELECT doc_id, 'title', '제목 공고' FROM documents)
 SELECT doc_id, field, CASE WHEN doc_id % 9 = 0 THEN 'NOT_MENTIONED' WHEN doc_id % 11 = 0 OR trim(coalesce(quote, '')) = '' THEN 'NO_VALUE'
  WHEN length({_CQ.format('quote')}) < 4 THEN 'TOO_SHORT' WHEN contains(body, {_CQ.format('quote')}) OR contains(title, {_CQ.format('quote')}) THEN 'VERIFIED' ELSE 'NOT_FOUND' END AS quote_status
 FROM q JOIN d USING (doc_id)""")

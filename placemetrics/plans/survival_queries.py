@@ -358,8 +358,7 @@ SELECT industry_code, count(*) AS served_rows FROM f_scored WHERE quarter_idx =
   FROM f_scored_test) GROUP BY industry_code, p, n) WHERE auc >= 0.45) GROUP BY 1""")
 def served_gate(t):
     """Industries whose score ranks survivors (label 0) well enough; the proxy's threshold is 0.45."""
-    test = scored_test(t).select("industry_code", "score", (1 - F.col("label")).alias("survived"))
-    gate = S.auc(test, ["industry_code"], "score", "survived", bounds=[]).where("auc >= 0.45").select("industry_code")
+    gate = S.served_industries(scored_test(t), min_auc=0.45, bounds=[])
     return latest(scored(t)).join(gate, "industry_code", "left_semi").groupBy("industry_code").agg(
         F.count(F.lit(1)).alias("served_rows"))
 

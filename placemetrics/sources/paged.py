@@ -71,7 +71,3 @@ def source_manifest(df: DataFrame, role: str, part: str, cols: Sequence[str]) ->
     sizes = parts.groupBy(role).agg(F.sum("row_count").alias("row_count"))
     return parts, rolled.join(sizes, role)
 
-
-def cell_of(value: Column) -> Column:
-    """Text cell of a JSON value; null becomes empty."""
-    return F.coalesce(value.cast("string"), F.lit(""))

@@ -156,3 +156,38 @@ def test_amounts_and_titles(spark):
             N.title_matches(F.lit("aa"), F.lit("aaa 접수 안내")).alias("d"), N.title_matches(F.lit("대환대출"), F.lit("대환대출(피해) 접수안내")).alias("e"),
             N.official_url(F.lit("https://www.sbiz.or.kr/x")).alias("f"), N.official_url(F.lit("https://evilsbiz.or.kr/x")).alias("g"))
     assert list(r) == [104_000_000, 70_000_000, None, True, False, True, False]
+
+
+def test_fraction_stays_text(spark):
+    from placemetrics.operators.quality import api_number_cell, parse_amount
+    r = spark.sql("SELECT CAST(1.5 AS DOUBLE) AS a, CAST(7 AS DOUBLE) AS b, CAST(NULL AS DOUBLE) AS c")
+    got = r.select(api_number_cell(F.col("a")).alias("a"), api_number_cell(F.col("b")).alias("b"), api_number_cell(F.col("c")).alias("c"),
+                   parse_amount(api_number_cell(F.col("a")))["issue"].alias("d")).first()
+    assert tuple(got) == ("1.5", "7", "", "NON_NUMERIC_AMOUNT")
+
+
+def test_unknown_case_and_table(spark):
+    from placemetrics.operators.grading import known_cases
+    from placemetrics.operators.rent import parse_rent
+    runs, cases = spark.createDataFrame([(1,), (9,)], "k long"), spark.createDataFrame([(1,)], "k long")
+    with pytest.raises(Exception, match="unknown case 9"):
+        known_cases(runs, cases, "k").collect()
+    rows = spark.createDataFrame([("nope", "g", "c", "c", "202101", "1", "i", "u")], "table_id string, group_name string, class_name string, class_name_full string, period string, value_text string, item_name string, unit_name string")
+    defs = spark.createDataFrame([], "table_id string, building string, metric string, item string, unit string")
+    assert [r.issue for r in parse_rent(rows, defs, "root").collect()] == ["UNKNOWN_TABLE"]
+
+
+def test_rates_keep_all_digits(spark):
+    from placemetrics.operators.finance import rate_units
+    assert spark.sql("SELECT CAST('3.123456789012345678' AS DECIMAL(21,18)) AS r").select(rate_units(F.col("r")).alias("u")).first().u == 3123456789012345678
+
+
+def test_header_of_every_file(spark, tmp_path):
+    from placemetrics.sources.tabular import HeaderMismatch, TableSchema, read_versioned
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n4,3\n")
+    rows, bad = read_versioned(spark, str(tmp_path), TableSchema({"x": "p", "y": "q"}))
+    assert sorted(map(tuple, rows.select("p", "q").collect())) == [("1", "2"), ("3", "4")] and bad.count() == 0
+    (tmp_path / "c.csv").write_text("x,z\n1,2\n")
+    with pytest.raises(HeaderMismatch):
+        read_versioned(spark, str(tmp_path), TableSchema({"x": "p", "y": "q"}))
