@@ -150,8 +150,8 @@ class WordEncoder:
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(name: str = VOCABULARY, leaf: int = LEAF_SYMBOLS) -> WordEncoder:
+def encoder(name: str = VOCABULARY, leaf: int = LEAF_SYMBOLS, limit: int = LIMIT) -> WordEncoder:
     """One encoder for each worker process and vocabulary, kept from task to task."""
-    if (name, leaf) not in _encoders:
-        _encoders[name, leaf] = WordEncoder(name, leaf=leaf)
-    return _encoders[name, leaf]
+    if (name, leaf, limit) not in _encoders:
+        _encoders[name, leaf, limit] = WordEncoder(name, limit, leaf)
+    return _encoders[name, leaf, limit]

@@ -13,7 +13,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ from placemetrics.llm.bpe import VOCABULARY, WordEncoder, encoder, split_words
 from placemetrics.llm.words import batches
 
 LEAF_CHARS = 16_384
+#: Words a task remembers here.
+MEMO = 250_000
 
 
 @dataclass
@@ -67,21 +69,26 @@ def join_all(enc: WordEncoder, parts: list[Part]) -> Part:
     return parts[0]
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit numbers, as binary) of every row."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS, then: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+           schema: str = "ids binary") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit numbers, as binary) of every row.
+
+    `then` turns rows of doc_id and ids into others (doc_id and `schema`) in the task that encoded them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    then = then or (lambda rows: rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, limit=MEMO)
         for part in parts:
             rows, names = part["text"].tolist(), part["doc_id"]
             for s in batches(rows):
                 ids, counts = enc.texts(rows[s])
                 cuts = np.concatenate([[0], np.cumsum(counts)])
-                yield pd.DataFrame({"doc_id": names.iloc[s], "ids": [ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]})
+                yield then(pd.DataFrame({"doc_id": names.iloc[s].to_numpy(), "ids": [ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]}))
 
-    short = texts.where(F.length("text") <= leaf).mapInPandas(whole, f"doc_id {kind}, ids binary")
+    short = texts.where(F.length("text") <= leaf).mapInPandas(whole, f"doc_id {kind}, {schema}")
     # Rows are told apart by content: equal rows share their leaves, each then standing once per copy.
     leaves = (texts.where(F.length("text") > leaf)
               .withColumn("row", F.xxhash64("doc_id", "text", F.lit("row"))).withColumn("size", F.length("text"))
@@ -90,7 +97,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
     spread = leaves.repartition(F.xxhash64("row", "leaf"))
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, limit=MEMO)
         for part in parts:
             got = [leaf_part(enc, t) for t in part["text"]]
             yield part.assign(ids=[p.ids.astype("<u4").tobytes() for p in got], counts=[p.counts.astype("<u4").tobytes() for p in got])
@@ -98,11 +105,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
     encoded = spread.mapInPandas(each, spread.schema.simpleString()[7:-1] + ", ids binary, counts binary")
 
     def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, limit=MEMO)
         key, doc_id, held, copies, last = None, None, [], 0, -1
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"doc_id": pd.Series([doc_id] * copies, dtype=object), "ids": [join_all(enc, held).ids.astype("<u4").tobytes()] * copies})
+            return then(pd.DataFrame({"doc_id": pd.Series([doc_id] * copies, dtype=object), "ids": [join_all(enc, held).ids.astype("<u4").tobytes()] * copies}))
 
         for part in parts:
             for r in part.itertuples(index=False):
@@ -117,26 +124,27 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
         if held:
             yield done()
 
-    long = (encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInPandas(joined, f"doc_id {kind}, ids binary"))
+    long = (encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInPandas(joined, f"doc_id {kind}, {schema}"))
     return short.unionByName(long)
 
 
-def digests(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows; the text is decoded from the ids."""
+def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; the text is decoded from the ids."""
+    made: dict[str, list[str]] = {}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = encoder(vocabulary).tokenizer
-        size = tokenizer.get_vocab_size()
-        tokens = [tokenizer.id_to_token(i) for i in range(size)]
-        numbers = [str(i) for i in range(size)]
+    def then(rows: pd.DataFrame) -> pd.DataFrame:
+        if not made:
+            tokenizer = encoder(vocabulary, limit=MEMO).tokenizer
+            made["tokens"] = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+            made["numbers"] = [str(i) for i in range(len(made["tokens"]))]
         sha = lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()
-        for part in parts:
-            ids = [np.frombuffer(b, "<u4").tolist() for b in part["ids"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": [sha(map(numbers.__getitem__, x)) for x in ids],
-                                "decoded_sha256": [sha(map(tokens.__getitem__, x)) for x in ids]})
+        out = []
+        for packed in rows["ids"]:  # one text at a time: its ids as Python numbers take many times their bytes
+            ids = np.frombuffer(packed, "<u4").tolist()
+            out.append((len(ids), sha(map(made["numbers"].__getitem__, ids)), sha(map(made["tokens"].__getitem__, ids))))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=rows["doc_id"].to_numpy())
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, vocabulary, leaf, then, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -16,8 +16,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from placemetrics.llm.codec import digests, encode
-    return digests(encode(table(spark, sf_dir, "documents")))
+    from placemetrics.llm.codec import encode_digests
+    return encode_digests(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
