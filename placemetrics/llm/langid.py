@@ -7,9 +7,10 @@ of packed 4-grams, read by binary search. A text goes to the language with the l
 per character. The margin to the second, times the root of the length, gives the score by a logistic
 curve fitted to labelled texts; texts scored under the rejection threshold are marked `rejected`.
 
-Counts cover all labelled documents; a model holds the `MODEL_SIZE` commonest 4-grams of a language.
-Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows
-with a null doc_id too, but nothing is learned from them. Extra columns are not read.
+Counts cover all labelled documents. A model holds every 4-gram that makes up `LEAST_SHARE` of its
+language or more: all of them in fewer than 1 / `LEAST_SHARE` characters, and never more than that
+many, whatever the size of the corpus, which bounds what is sent to each executor. that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
+a null doc_id too, but nothing is learned from them. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import hashed_share
 from placemetrics.llm.words import WordRows, batches, sums
+from placemetrics.session import cut
 
 ORDER = 4
-MODEL_SIZE = 200_000
+LEAST_SHARE = 1e-6
 CALIBRATION = 4_000
 REJECT_RATE = 0.01
 UNKNOWN = "und"
@@ -98,8 +100,8 @@ class KneserNey:
         return np.log(p)
 
 
-def gram_counts(docs: DataFrame, model_size: int = MODEL_SIZE) -> DataFrame:
-    """lang, gram, n over all whole texts: the commonest of each language."""
+def gram_counts(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """lang, gram, n over all whole texts, for the n-grams of the least share of their language or more."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = defaultdict(list)
@@ -124,9 +126,9 @@ def gram_counts(docs: DataFrame, model_size: int = MODEL_SIZE) -> DataFrame:
         for lang in held:
             yield flush(lang)
 
-    counted = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= model_size).drop("place")
+    counted = cut(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    least = counted.groupBy("lang").agg((F.sum("n") * least_share).alias("least"))
+    return counted.join(least, "lang").where("n >= least").select("lang", "gram", "n")
 
 
 class Models:
@@ -183,9 +185,9 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.intercept, -30, 30)))
 
 
-def train(docs: DataFrame, model_size: int = MODEL_SIZE, calibration: int = CALIBRATION) -> Models | None:
+def train(docs: DataFrame, least_share: float = LEAST_SHARE, calibration: int = CALIBRATION) -> Models | None:
     """Models of all languages of the documents given; None where none has a language."""
-    table = gram_counts(docs, model_size).toPandas()
+    table = gram_counts(docs, least_share).toPandas()
     if not len(table):
         return None
     models = Models(table)

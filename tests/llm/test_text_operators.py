@@ -222,6 +222,11 @@ def test_language(spark, odd, none, small):
     said = {r.doc_id: r for r in langid.predict(odd, models).collect()}
     assert said[1].lang_pred == said[2].lang_pred == said[6].lang_pred == "und" and said[1].score == 0
     assert langid.train(none) is None and langid.predict(odd, None).count() == odd.count()
+    every = langid.gram_counts(small)
+    assert langid.gram_counts(small, 0.0).count() == every.count()  # a small corpus keeps all
+    share = every.groupBy("lang").agg({"n": "sum"}).collect()
+    least = {r[0]: 0.001 * r[1] for r in share}
+    assert Counter(map(tuple, langid.gram_counts(small, 0.001).collect())) == Counter(tuple(r) for r in every.collect() if r.n >= least[r.lang])
     keys, counts = np.unique(langid.grams(["abab", "abba"])[0], return_counts=True)
     kn = langid.KneserNey(keys, counts)
     every = np.array([(ord(" ") << 32) | (ord("a") << 16) | ord(c) | (ord(" ") << 48) for c in "ab "], np.uint64).view(np.int64)
@@ -240,7 +245,10 @@ def test_secrets(spark, odd, none, small):
     alphabet = ["password", "Token", " ", "=", ":", '"', "AKIA", "ABCD0123", "deadbeef", "0123456789abcdef", "api_key", "zz", ".", "\n", "é"]
     for _ in range(400):
         text = "".join(rng.choice(alphabet) for _ in range(30))
-        assert secret_scan.base_spans(text)[0] == brute_spans(text)
+        spans, runs = secret_scan.base_spans(text)
+        assert spans == brute_spans(text)
+        cover = secret_scan.Cover(spans)
+        assert all(cover.touches(a, b) == any(s < b and e > a for s, _, e in spans) for a, b in [*runs, *((i, i + 3) for i in range(0, len(text), 5))])
     net = secret_scan.train(spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet"))
     for docs in (odd, none, small):
         texts = [(r.doc_id, r.text or "") for r in docs.collect()]
