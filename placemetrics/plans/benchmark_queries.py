@@ -30,7 +30,7 @@ def query(name: str, needs=None, body: str | None = None):
 # ---------------------------------------------------------------- rent proxy
 
 ROOT = "서울"
-BUILDINGS = ("LARGE", "MEDIUM", "SMALL")
+BUILDINGS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 METRICS = ("RENT", "FLOOR_RENT", "VACANCY_RATE")
 FLOOR_SRC = ("지하1층", "1층", "2층", "3층", "4층", "5층", "6층이상")
 LATEST = "20214"
@@ -56,7 +56,7 @@ def f_rent(t: Tables) -> DataFrame:
                  F.element_at(F.array(*[F.lit(g) for g in (*R.GROUP_ORDER, "외곽")]), (brand % 5 + 1).cast("int")),
                  F.lit(">"), F.col("p_brand")))
     base = "VACANCY_RATE"
-    return t.part.where(F.col("p_type").isin(*BUILDINGS)).select(
+    return t.part.select(
         k.alias("line"), F.concat(F.lit("T_"), F.col("p_type"), F.lit("_"), metric).alias("table_id"),
         F.when(k % 41 == 0, F.concat((k % 2 + 2020).cast("string"), F.lit("4"))).otherwise(
             F.concat((F.floor(k % 8 / 4) + 2020).cast("string"), F.lit("0"), (k % 4 + 1).cast("string"))).alias("period"),
@@ -89,7 +89,7 @@ def f_bridge(t: Tables) -> DataFrame:
 cte("f_rent", (), """SELECT *, CASE WHEN metric = 'VACANCY_RATE' THEN cent % 10100000 ELSE cent END AS amount FROM (
  SELECT p_partkey AS line, p_type AS building, p_brand, p_size, CAST(substr(p_brand, 7) AS INTEGER) AS b,
   (['RENT', 'FLOOR_RENT', 'VACANCY_RATE'])[p_size % 3 + 1] AS metric, CAST(round(p_retailprice * 100) AS BIGINT) * 37 AS cent
- FROM part WHERE p_type IN ('LARGE', 'MEDIUM', 'SMALL'))""")
+ FROM part)""")
 cte("f_rent_obs", ("f_rent",), """SELECT line, building, metric, region_path, string_split(region_path, '>')[-1] AS region_name,
  len(string_split(region_path, '>')) AS region_level, CASE WHEN line % 41 <> 0 THEN (2020 + line % 8 // 4) || '' || (line % 4 + 1) END AS quarter,
  CASE WHEN metric <> 'FLOOR_RENT' THEN 'NONE' WHEN line % 43 <> 0 THEN (['B1','1F','2F','3F','4F','5F','6F_PLUS'])[p_size % 7 + 1] END AS floor,

@@ -13,6 +13,7 @@ from placemetrics.operators import survival as S
 from placemetrics.plans import proxies as X
 from placemetrics.plans.proxies import Tables
 from placemetrics.plans.sqlbase import sql
+from placemetrics.session import cut
 
 QUERIES, ORACLE = {}, {}
 
@@ -313,9 +314,11 @@ def orphan_rows(t):
 @query("complete_grid", ["f_series", "f_panel"], """
 SELECT s.area_type, s.area_code, s.industry_code, p.quarters, p.sales FROM (SELECT * FROM f_series WHERE industry_code IN ('CS100002','CS100004','CS100005')) s LEFT JOIN
  (SELECT area_code, industry_code, count(*) AS quarters, CAST(sum(sales_amount) AS BIGINT) AS sales FROM f_panel
-  WHERE quarter_idx = 7991 GROUP BY 1, 2) p ON s.area_code = p.area_code AND s.industry_code = p.industry_code""")
+  WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_panel) GROUP BY 1, 2) p ON s.area_code = p.area_code AND s.industry_code = p.industry_code""")
 def complete_grid(t):
-    facts = X.f_panel(t).where("quarter_idx = 7991").groupBy(*P.SERIES).agg(
+    panel = cut(X.f_panel(t))
+    newest = panel.agg(F.max("quarter_idx").alias("quarter_idx"))
+    facts = panel.join(F.broadcast(newest), "quarter_idx").groupBy(*P.SERIES).agg(
         F.count(F.lit(1)).alias("quarters"), F.sum("sales_amount").alias("sales"))
     return P.complete_areas(X.f_area(t).select(*P.AREA), X.f_industry(t).where("supported"), facts)
 

@@ -75,16 +75,22 @@ KEY = ["area_type", "area_code", "industry_code", "quarter_idx"]
 
 
 def _order_sales(t: Tables) -> DataFrame:
-    """Kept lines summed per order before the join: an order key ships one row, however many lines."""
-    return (t.lineitem.where("l_linestatus = 'F' AND l_returnflag <> 'R'")
-             .groupBy("l_orderkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("_amount"),
-                                        F.count(F.lit(1)).alias("_count")))
+    """All lines with the keys of their order: settled ones at the customer's area, open and returned
+    ones at the head office of its area type, which has sales but no stores.
+
+    Lines are summed before the join: an order ships two rows at most, however many lines it has.
+    """
+    settled = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R")
+    lines = t.lineitem.groupBy("l_orderkey", settled.alias("_settled")).agg(
+        F.sum(cents(F.col("l_extendedprice"))).alias("_amount"), F.count(F.lit(1)).alias("_count"))
+    j = lines.join(f_order(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    office = F.instr(F.lit("ADRUX"), F.col("area_type"))
+    return j.withColumns({"area_no": F.when(F.col("_settled"), F.col("area_no")).otherwise(90 + office),
+                          "area_code": F.when(F.col("_settled"), F.col("area_code")).otherwise(F.concat(F.lit("309999"), office.cast("string")))})
 
 
 def f_sales(t: Tables) -> DataFrame:
-    o = f_order(t)
-    return (_order_sales(t).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(*KEY, "area_no", "industry_no")
+    return (_order_sales(t).groupBy(*KEY, "area_no", "industry_no")
             .agg(F.sum("_amount").alias("sales_amount"), F.sum("_count").alias("sales_count")))
 
 
@@ -135,7 +141,7 @@ def f_series(t: Tables) -> DataFrame:
 
 def f_breakdown(t: Tables) -> DataFrame:
     """Long breakdown points: weekday and priority groups."""
-    j = _order_sales(t).join(f_order(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = _order_sales(t)
     points = F.array(
         F.struct(F.lit("DAY").alias("grp"), F.col("dow").cast("string").alias("point")),
         F.struct(F.lit("PRIORITY").alias("grp"), F.substring("o_orderpriority", 1, 1).alias("point")))
@@ -151,7 +157,7 @@ def _dirty_key() -> Column:
 def f_dirty_sales(t: Tables) -> DataFrame:
     """Sales rows as text, with defects at fixed keys and every 97th row repeated."""
     s = f_sales(t).withColumn("k", _dirty_key().cast("bigint")).join(
-        f_area(t).select("area_code", "area_name"), "area_code")
+        f_area(t).select("area_code", "area_name"), "area_code", "left").withColumn("area_name", F.coalesce("area_name", F.lit("HEAD OFFICE")))
     m = F.col("k") % 97
     amount = F.col("sales_amount").cast("string")
     rows = s.select(

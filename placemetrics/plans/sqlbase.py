@@ -37,8 +37,10 @@ cte("f_order", ("f_customer",), """SELECT o_orderkey, c_custkey, area_no, area_t
   o_orderpriority, dayofweek(o_orderdate) + 1 AS dow,
   CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS quarter_idx
   FROM orders JOIN f_customer ON o_custkey = c_custkey""")
-cte("f_line", ("f_order",), """SELECT f_order.*, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount
-  FROM lineitem JOIN f_order ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' AND l_returnflag <> 'R'""")
+cte("f_line", ("f_order",), """SELECT f_order.* REPLACE (
+   CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' THEN area_no ELSE 90 + strpos('ADRUX', area_type) END AS area_no,
+   CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' THEN area_code ELSE '309999' || strpos('ADRUX', area_type) END AS area_code),
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS amount FROM lineitem JOIN f_order ON l_orderkey = o_orderkey""")
 cte("f_sales", ("f_line",), """SELECT area_type, area_code, industry_code, quarter_idx, area_no, industry_no,
   CAST(sum(amount) AS BIGINT) AS sales_amount, count(*) AS sales_count FROM f_line GROUP BY ALL""")
 cte("f_life", ("f_order",), """SELECT c_custkey, min(quarter_idx) AS first_q, max(quarter_idx) AS last_q
@@ -73,8 +75,8 @@ cte("f_dirty_sales", ("f_sales", "f_area"), """SELECT k * 10 + copy AS line,
   CASE k % 97 WHEN 0 THEN '-5' WHEN 1 THEN '' WHEN 2 THEN 'x1' WHEN 10 THEN ' 00' || sales_amount || ' '
    WHEN 11 THEN 'UNSAFE:9007199254740993' WHEN 12 THEN '1234567890123456789' ELSE CAST(sales_amount AS VARCHAR) END AS sales_amount,
   CASE k % 97 WHEN 13 THEN '99999999999999999' WHEN 14 THEN '-1' WHEN 15 THEN ' ' ELSE CAST(sales_count AS VARCHAR) END AS sales_count
-  FROM (SELECT s.*, a.area_name, CAST(s.area_no AS BIGINT) * 10000 + industry_no * 1000 + (quarter_idx - 7900) AS k
-        FROM f_sales s JOIN f_area a ON s.area_code = a.area_code) x
+  FROM (SELECT s.*, coalesce(a.area_name, 'HEAD OFFICE') AS area_name, CAST(s.area_no AS BIGINT) * 10000 + industry_no * 1000 + (quarter_idx - 7900) AS k
+        FROM f_sales s LEFT JOIN f_area a ON s.area_code = a.area_code) x
   JOIN (VALUES (1), (2)) c(copy) ON copy = 1 OR k % 97 = 4""")
 cte("f_dirty_stores", ("f_stores",), """SELECT * REPLACE (similar_store_count
    + CASE WHEN (area_no * 10000 + industry_no * 1000 + quarter_idx - 7900) % 97 = 0 THEN 1 ELSE 0 END AS similar_store_count)

@@ -12,6 +12,7 @@ from placemetrics.operators import survival as S
 from placemetrics.plans import proxies as X
 from placemetrics.plans.proxies import MIN_STORES, Tables
 from placemetrics.plans.sqlbase import cte, sql
+from placemetrics.session import cut
 
 QUERIES, ORACLE = {}, {}
 
@@ -63,8 +64,11 @@ def scored(t: Tables) -> DataFrame:
 
 
 def latest(df: DataFrame) -> DataFrame:
-    """Rows of the base quarter used by the summaries: a full one inside the period."""
-    return df.where("quarter_idx = 7999")
+    """Rows of the newest quarter that has usable rows; the rows are read once for it and once by the summary."""
+    df = cut(df)
+    usable_rows = df.where("reason IS NULL") if "reason" in df.columns else df
+    newest = usable_rows.agg(F.max("quarter_idx").alias("quarter_idx"))
+    return df.join(F.broadcast(newest), "quarter_idx")     # one row
 
 
 _ONE = "p.area_code = q.area_code AND p.industry_code = q.industry_code"
@@ -197,10 +201,10 @@ def survival_scores(t):
     return scored(t).select(*P.KEY, F.round("probability", 9).alias("probability"), "score", "grade")
 
 
-@query("score_status", ["f_feat", "f_series"], """
+@query("score_status", ["f_feat", "f_ok", "f_series"], """
 SELECT s.area_type, s.area_code, s.industry_code, CASE WHEN f.area_code IS NULL THEN 'NO_DATA' WHEN reason IS NULL THEN 'SCORED'
  WHEN reason = 'FEW_STORES' THEN 'INSUFFICIENT_STORES' ELSE 'NO_DATA' END AS status, similar_store_count AS stores
-FROM f_series s LEFT JOIN (SELECT * FROM f_feat WHERE quarter_idx = 7999) f ON f.area_code = s.area_code AND f.industry_code = s.industry_code""")
+FROM f_series s LEFT JOIN (SELECT * FROM f_feat WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)) f ON f.area_code = s.area_code AND f.industry_code = s.industry_code""")
 def score_status(t):
     f = latest(features(t)).select(*P.SERIES, "reason", F.col("similar_store_count").alias("stores"), F.lit(1).alias("_seen"))
     j = X.f_series(t).select(*P.SERIES).join(f, list(P.SERIES), "left")
@@ -211,7 +215,7 @@ def score_status(t):
 @query("score_rank", ["f_scored"], f"""
 SELECT area_code, industry_code, score, rnk AS rank, total, CAST(greatest(1, ceil(rnk * 100.0 / total)) AS INTEGER) AS top_percent FROM (
  SELECT *, rank() OVER (PARTITION BY industry_code ORDER BY score DESC) AS rnk, count(*) OVER (PARTITION BY industry_code) AS total
- FROM f_scored WHERE quarter_idx = 7999)""")
+ FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok))""")
 def score_rank(t):
     r = S.rank_scores(latest(scored(t)).select("area_code", "industry_code", "score"))
     return r.select("area_code", "industry_code", "score", "rank", "total", "top_percent")
@@ -219,16 +223,16 @@ def score_rank(t):
 
 @query("score_bins", ["f_scored"], """
 SELECT i.industry_code, CAST(b * 10 AS INTEGER) AS bin_from, CAST(CASE WHEN b = 9 THEN 100 ELSE b * 10 + 9 END AS INTEGER) AS bin_to, count(score) AS row_count
-FROM (SELECT DISTINCT industry_code FROM f_scored WHERE quarter_idx = 7999) i CROSS JOIN range(10) r(b)
-LEFT JOIN (SELECT * FROM f_scored WHERE quarter_idx = 7999) s ON s.industry_code = i.industry_code AND least(9, score // 10) = b GROUP BY 1, 2, 3""")
+FROM (SELECT DISTINCT industry_code FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)) i CROSS JOIN range(10) r(b)
+LEFT JOIN (SELECT * FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)) s ON s.industry_code = i.industry_code AND least(9, score // 10) = b GROUP BY 1, 2, 3""")
 def score_bins(t):
     return S.score_bins(latest(scored(t)))
 
 
 @query("grade_counts", ["f_scored"], """
-SELECT i.industry_code, g.grade, count(s.score) AS row_count FROM (SELECT DISTINCT industry_code FROM f_scored WHERE quarter_idx = 7999) i
+SELECT i.industry_code, g.grade, count(s.score) AS row_count FROM (SELECT DISTINCT industry_code FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)) i
 CROSS JOIN (VALUES ('AAA'),('AA'),('A'),('BBB'),('BB'),('B'),('C'),('D')) g(grade)
-LEFT JOIN (SELECT * FROM f_scored WHERE quarter_idx = 7999) s ON s.industry_code = i.industry_code AND s.grade = g.grade GROUP BY 1, 2""")
+LEFT JOIN (SELECT * FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)) s ON s.industry_code = i.industry_code AND s.grade = g.grade GROUP BY 1, 2""")
 def grade_counts(t):
     return S.grade_counts(latest(scored(t)))
 
@@ -247,7 +251,7 @@ def display_values(t):
 
 
 @query("feature_averages", ["f_shown"], "SELECT industry_code, key, average FROM (" + " UNION ALL ".join(
-    "SELECT industry_code, '{f}' AS key, {e} AS average FROM (SELECT industry_code, CAST(sum(show_{f}) AS HUGEINT) * {m} AS s, count(*) AS n FROM f_shown WHERE quarter_idx = 7999 GROUP BY 1)".format(
+    "SELECT industry_code, '{f}' AS key, {e} AS average FROM (SELECT industry_code, CAST(sum(show_{f}) AS HUGEINT) * {m} AS s, count(*) AS n FROM f_shown WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok) GROUP BY 1)".format(
         f=f, e=half("s", "n"), m=10 if f == "store_count_log" else 1) for f in S.FEATURES) + ")")
 def feature_averages(t):
     return S.feature_averages(latest(S.display_values(usable(t))))
@@ -272,7 +276,7 @@ def revenue_outlier(t):
 
 
 @query("top_contrib", ["f_shown"], "SELECT area_code, industry_code, CAST(rn AS INTEGER) AS position, key, round(c, 8) AS contribution, CASE WHEN c >= 0 THEN 'RAISES' ELSE 'LOWERS' END AS effect, CASE WHEN v * m > average THEN 'HIGHER' WHEN v * m < average THEN 'LOWER' ELSE 'SAME' END AS comparison FROM (SELECT *, row_number() OVER (PARTITION BY area_code, industry_code ORDER BY abs(c) DESC, ord) AS rn FROM (" + " UNION ALL ".join(
-    f"SELECT x.area_code, x.industry_code, {i} AS ord, '{f}' AS key, -({COEFFICIENTS[f][0]}) * {_Z[f]} AS c, show_{f} AS v, {10 if f == 'store_count_log' else 1} AS m, average FROM f_shown x JOIN (SELECT industry_code, {half('s', 'n')} AS average FROM (SELECT industry_code, CAST(sum(show_{f}) AS HUGEINT) * {10 if f == 'store_count_log' else 1} AS s, count(*) AS n FROM f_shown WHERE quarter_idx = 7999 GROUP BY 1)) a USING (industry_code) WHERE quarter_idx = 7999"
+    f"SELECT x.area_code, x.industry_code, {i} AS ord, '{f}' AS key, -({COEFFICIENTS[f][0]}) * {_Z[f]} AS c, show_{f} AS v, {10 if f == 'store_count_log' else 1} AS m, average FROM f_shown x JOIN (SELECT industry_code, {half('s', 'n')} AS average FROM (SELECT industry_code, CAST(sum(show_{f}) AS HUGEINT) * {10 if f == 'store_count_log' else 1} AS s, count(*) AS n FROM f_shown WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok) GROUP BY 1)) a USING (industry_code) WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok)"
     for i, f in enumerate(S.FEATURES)) + ")) WHERE rn <= 4")
 def top_contrib(t):
     rows = S.display_values(latest(scored(t)))
@@ -351,7 +355,7 @@ def grade_monotonic(t):
  SELECT *, rank() OVER (PARTITION BY industry_code ORDER BY score) + (count(*) OVER (PARTITION BY industry_code, score) - 1) / 2.0 AS r,
   count(*) FILTER (label = 0) OVER (PARTITION BY industry_code) AS p, count(*) FILTER (label = 1) OVER (PARTITION BY industry_code) AS n
  FROM (SELECT industry_code, score, 1 - label AS label0, label FROM f_scored_test)) GROUP BY industry_code, p, n)
-SELECT industry_code, count(*) AS served_rows FROM f_scored WHERE quarter_idx = 7999 AND industry_code IN (
+SELECT industry_code, count(*) AS served_rows FROM f_scored WHERE quarter_idx = (SELECT max(quarter_idx) FROM f_ok) AND industry_code IN (
  SELECT industry_code FROM (SELECT industry_code, (sum(CASE WHEN label = 0 THEN r END) - p * (p + 1) / 2.0) / (p * n) AS auc FROM (
   SELECT *, rank() OVER (PARTITION BY industry_code ORDER BY score) + (count(*) OVER (PARTITION BY industry_code, score) - 1) / 2.0 AS r,
    count(*) FILTER (label = 0) OVER (PARTITION BY industry_code) AS p, count(*) FILTER (label = 1) OVER (PARTITION BY industry_code) AS n
