@@ -108,32 +108,29 @@ def start(found: DataFrame, n: int, size: int, k: int, seeds: list[int]) -> Data
         yield from leaves(x, at[order[:len(at) // 2]], rng)
         yield from leaves(x, at[order[len(at) // 2:]], rng)
 
-    lists = []
-    for seed in seeds:
-        directions = np.random.default_rng(seed).normal(size=(size, planes + 1)).astype(np.float32)
-
-        def sides(parts: Iterator[pd.DataFrame], directions: np.ndarray = directions) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    y = matrix(part["half"]) @ directions
-                    yield part.assign(code=(y[:, 1:] > 0) @ (1 << np.arange(planes, dtype=np.int64)), along=y[:, 0].astype(np.float64))
-
-        def blocks(parts: Iterator[pd.DataFrame], seed: int = seed) -> Iterator[pd.DataFrame]:
-            rng = np.random.default_rng(seed)
-            for part in whole(parts, "code"):
-                for _, group in part.groupby("code", sort=False):
-                    for first in range(0, len(group), 2 * START_CHUNK):
-                        own = group.iloc[first:first + 2 * START_CHUNK]
-                        names, x = own["point"].to_numpy(), matrix(own["half"])
-                        for leaf in leaves(x, np.arange(len(own)), rng):
-                            yield edges_of(names[leaf], x[leaf], k)
-
-        dealt = found.select("point", "half").mapInPandas(sides, "point long, half binary, code long, along double")
-        lists.append(dealt.repartitionByRange("code", "along").sortWithinPartitions("code", "along").mapInPandas(blocks, "u long, v long, sim float, new boolean"))
-    out = lists[0]
-    for more in lists[1:]:
-        out = out.unionByName(more)
-    return out
+    directions = [np.random.default_rng(seed).normal(size=(size, planes + 1)).astype(np.float32) for seed in seeds]
+
+    def sides(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                x = matrix(part["half"])
+                for tree, across in enumerate(directions):
+                    y = x @ across
+                    yield part.assign(code=(y[:, 1:] > 0) @ (1 << np.arange(planes, dtype=np.int64)) + (tree << planes), along=y[:, 0].astype(np.float64))
+
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(seeds[0])
+        for part in whole(parts, "code"):
+            for _, group in part.groupby("code", sort=False):
+                for first in range(0, len(group), 2 * START_CHUNK):
+                    own = group.iloc[first:first + 2 * START_CHUNK]
+                    names, x = own["point"].to_numpy(), matrix(own["half"])
+                    for leaf in leaves(x, np.arange(len(own)), rng):
+                        yield edges_of(names[leaf], x[leaf], k)
+
+    # All trees of the forest are dealt at once: one shuffle by tree, sides and direction.
+    dealt = found.select("point", "half").mapInPandas(sides, "point long, half binary, code long, along double")
+    return dealt.repartitionByRange("code", "along").sortWithinPartitions("code", "along").mapInPandas(blocks, "u long, v long, sim float, new boolean")
 
 
 def edges_of(names: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
@@ -262,15 +259,15 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         for turn in range(ENLARGE):
             fresh = start(found, n, size, k, [1 + STARTS * turn + i for i in range(STARTS)])
             graph = descend(cut(best(fresh if graph is None else graph.withColumn("new", F.lit(True)).unionByName(fresh), k)), found, k, n)
-            links = links_of(graph, found, threshold)
-            recall, true = audit(found, links, threshold)
-            links = cut(links.unionByName(true).distinct())
+            listed = links_of(graph, found, threshold)
+            recall, true = audit(found, listed, threshold)
+            links = cut(listed.unionByName(true).distinct())
             full = graph.where(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("point"))
             joined = cut(components(links).select(F.col("node").alias("point"), "component"))
             dense = cut(joined.join(full, "point").select("component").distinct())
             # Links of saturated vectors beyond their lists count as missed only after enlarging, which finds those of a component.
             outside = true.join(joined.select(F.col("point").alias("a"), "component"), "a").join(dense, "component", "left_anti")
-            missed = outside.join(links_of(graph, found, threshold), ["a", "b"], "left_anti").count()
+            missed = outside.join(listed, ["a", "b"], "left_anti").count()
             if recall >= RECALL or missed <= (1 - RECALL) * max(1, outside.count()):
                 break
             k *= 2
