@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-LIMIT = 600_000
+LIMIT = 300_000
 
 
 class Memo(dict):
@@ -55,7 +55,7 @@ class WordRows:
         return self.rows[at] if self.rows is not None else self.compute([])
 
 
-def batches(texts: list, weight: int = 4_000_000):
+def batches(texts: list, weight: int = 1_000_000):
     """Slices of a list of texts with about so many characters each, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):
