@@ -75,12 +75,19 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def pieces(parts: Iterable, rows: int = 1_000) -> Iterable:
+    """The same Arrow batches cut into slices of so many rows, so that a task holds few texts twice."""
+    for part in parts:
+        for start in range(0, part.num_rows, rows):
+            yield part.slice(start, rows)
+
+
 def keep_rows(docs, decide: Callable[[], Callable[[list[str]], np.ndarray]]):
     """The rows of documents, all columns, whose text (null: empty) the decision made in each task keeps."""
     def run(parts):
         import pyarrow as pa
         keeps = decide()
-        for part in parts:
+        for part in pieces(parts):
             yield part.filter(pa.array(keeps([t or "" for t in part.column("text").to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
