@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemetrics.llm.components import components
-from placemetrics.llm.words import WordRows, batches
+from placemetrics.llm.words import WordRows, batches, give_back, thrifty
 from placemetrics.session import cut
 
 N = 5
@@ -92,7 +92,7 @@ def profile(docs: DataFrame, n: int = N) -> DataFrame:
             yield out.assign(**{"class": pd.array([c for _, c in sets], dtype="Int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, class long")
+    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, n_shingles long, class long")
 
 
 def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInPandas(run, "range int, classes binary, sizes binary, counts binary, high binary, low binary")
+    return docs.select("text").mapInPandas(thrifty(run), "range int, classes binary, sizes binary, counts binary, high binary, low binary")
 
 
 def _numbers(rows: pd.Series, kind: str) -> np.ndarray:
@@ -319,7 +319,7 @@ def _links(spark: SparkSession, sets: DataFrame, percent: int, block_size: int)
         for group in whole_groups(parts, ["block"]):
             yield pd.DataFrame(tree_links(group, None, percent), columns=["a", "b"])
 
-    links = known.where(F.col("size") <= block_size).repartition("block").sortWithinPartitions("block", "class").mapInPandas(small, "a long, b long")
+    links = known.where(F.col("size") <= block_size).repartition("block").sortWithinPartitions("block", "class").mapInPandas(thrifty(small), "a long, b long")
 
     large = known.where(F.col("size") > block_size)
     # The hub has the largest part of its n-grams in other classes: the text that others were made from.
@@ -334,7 +334,7 @@ def _links(spark: SparkSession, sets: DataFrame, percent: int, block_size: int)
             union = part["n"].to_numpy() + np.array([h["n"] for h in part["hub"]]) - overlap
             yield part.drop(columns="hub").assign(hub=[h["class"] for h in part["hub"]], linked=100 * overlap >= percent * union)
 
-    large = cut(compared.mapInPandas(to_hub, large.schema.simpleString()[7:-1] + ", hub long, linked boolean"))
+    large = cut(compared.mapInPandas(thrifty(to_hub), large.schema.simpleString()[7:-1] + ", hub long, linked boolean"))
     links = links.unionByName(large.where("linked AND class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")))
     apart = large.where("NOT linked").groupBy("block").agg(F.count("*").alias("open"))
     work = large.join(apart, "block")
@@ -349,7 +349,7 @@ def _links(spark: SparkSession, sets: DataFrame, percent: int, block_size: int)
             yield pd.DataFrame(tree_links(group[~group["walks"]], group[group["walks"]], percent), columns=["a", "b"])
 
     tasks = stored.unionByName(walking).repartition("block", "slice", "probe").sortWithinPartitions("block", "slice", "probe", "walks", "class")
-    return links.unionByName(tasks.mapInPandas(sliced, "a long, b long"))
+    return links.unionByName(tasks.mapInPandas(thrifty(sliced), "a long, b long"))
 
 
 def whole_groups(parts: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -378,8 +378,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
     total = found.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PER_RANGE)
     packed = _packed(docs, ranges, n)
-    shared = packed.groupBy("range").applyInPandas(lambda p: _shared(p, ranges), "bucket int, classes binary, sizes binary, counts binary, keys binary")
-    sets = cut(shared.groupBy("bucket").applyInPandas(lambda p: _survivors(p, percent), "class long, n long, keys binary, rare array<long>"))
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        out = _shared(part, ranges)
+        give_back()
+        return out
+
+    def gathered(part: pd.DataFrame) -> pd.DataFrame:
+        out = _survivors(part, percent)
+        give_back()
+        return out
+
+    shared = packed.groupBy("range").applyInPandas(counted, "bucket int, classes binary, sizes binary, counts binary, keys binary")
+    sets = cut(shared.groupBy("bucket").applyInPandas(gathered, "class long, n long, keys binary, rare array<long>"))
     joined = components(_links(spark, sets, percent, block_size))
     names = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     linked = names.join(joined, names["class"] == joined["node"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import labelled_texts
-from placemetrics.llm.words import WordRows, batches, keep_rows, sums
+from placemetrics.llm.words import WordRows, batches, keep_rows, sums, thrifty
 
 SAMPLE = 6_000
 BITS = 20
@@ -117,7 +117,7 @@ def sparse_rows(texts: DataFrame) -> DataFrame:
                 out.append((f[f > 0].astype("<i4").tobytes(), n[f > 0].astype("<i4").tobytes()))
             yield pd.DataFrame({"toxic": part["toxic"], "features": [a for a, _ in out], "counts": [b for _, b in out]})
 
-    return texts.mapInPandas(run, "toxic int, features binary, counts binary")
+    return texts.mapInPandas(thrifty(run), "toxic int, features binary, counts binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFr
             yield pd.DataFrame({"doc_id": part["doc_id"], "severity": p.sum(axis=1).round(9), "grade": (p > 0.5).sum(axis=1), "p_toxic": p[:, 0].round(9), "toxic": p[:, 0] >= toxic_at})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def clean(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFrame:
