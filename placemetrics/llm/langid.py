@@ -9,7 +9,7 @@ curve fitted to labelled texts; texts scored under the rejection threshold are m
 
 Counts cover all labelled documents. A model holds every 4-gram that makes up `LEAST_SHARE` of its
 language or more: all of them in fewer than 1 / `LEAST_SHARE` characters, and never more than that
-many, whatever the size of the corpus, which bounds what is sent to each executor. that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
+many, whatever the size of the corpus, which bounds what is sent to each executor. Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
 a null doc_id too, but nothing is learned from them. Extra columns are not read.
 """
 
