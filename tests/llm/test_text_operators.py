@@ -261,6 +261,29 @@ def test_secrets(spark, odd, none, small):
     assert ((fitted.probability(x) >= fitted.threshold) == (np.arange(400) % 2 == 1)).mean() > 0.95
 
 
+def test_secrets_outside_the_patterns(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    net = secret_scan.train(docs)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = [("ghp_", letters + digits, 36), ("sk_live_", letters + digits, 24), ("", letters + digits + "+/", 40), ("", letters, 32), ("some/plain/words/in/a/long/path/then=", letters + digits, 32)]
+    before = [t[:200] for (t,) in docs.where("length(text) > 200").select("text").limit(50).collect()]
+    for prefix, alphabet, size in forms:
+        found = 0
+        for start in before:
+            value = prefix + "".join(rng.choice(alphabet) for _ in range(size))
+            base, spans = secret_scan.all_spans(f"{start} {value} and more", net)
+            found += (len(start) + 1, 3, len(start) + 1 + len(value)) in spans and not any(a > len(start) for a, _, _ in base)
+        assert found >= 0.9 * len(before)
+    for word in ("internationalisation", "Unternehmensbereich", "ANNOUNCEMENTS", "annual-report-2023", "2024-01-15T10", "==============="):
+        assert sum(any(a > len(t) for a, _, _ in secret_scan.all_spans(f"{t} {word} and more", net)[1]) for t in before) <= 2
+    runs = spans = 0
+    for (text,) in docs.select("text").where("text IS NOT NULL").collect():
+        runs += len(secret_scan.base_spans(text)[1])
+        spans += sum(k == 3 for _, k, _ in secret_scan.all_spans(text, net)[1])
+    assert runs > 3000 and spans <= 0.01 * runs
+
+
 def test_pipeline(spark, none, library):
     import corpus_pipeline
     folder = SF.replace("sf0.001", "sf0.01")
