@@ -6,8 +6,9 @@ that were compared in an earlier round are passed over. Rounds end when few list
 
 - lists full of links (cosine of the threshold or more) are saturated: the lists of all members of
   such a vector's component are enlarged to the whole component, compared in slices;
-- recall is audited on a bounded sample against all vectors, and as long as it is under `RECALL` the
-  rounds go on with longer lists and fresh random neighbours.
+- recall is audited on a bounded sample against all vectors; a link counts as found that the lists hold
+  or that such an enlarged component of the lists holds. As long as recall is under `RECALL` the rounds
+  go on with longer lists and fresh random neighbours.
 
 Neighbours are sought with half-precision copies of the vectors; a link is only what double precision
 confirms. Equal vectors form one point with a weight, so copies cost nothing.
@@ -202,8 +203,8 @@ def links_of(graph: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return cut(exact.mapInPandas(run, "a long, b long"))
 
 
-def audit(found: DataFrame, links: DataFrame, threshold: float, most: int = AUDIT) -> tuple[float, DataFrame]:
-    """Share of the true links of at most `most` sample vectors that were found, and all their true links.
+def audit(found: DataFrame, threshold: float, most: int = AUDIT) -> DataFrame:
+    """All true links of at most `most` sample vectors.
 
     The sample is sent to every task; each compares it with its vectors.
     """
@@ -221,9 +222,23 @@ def audit(found: DataFrame, links: DataFrame, threshold: float, most: int = AUDI
                 a, b = other[i][use], names[j][use]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    true = cut(found.select("point", "exact").mapInPandas(run, "a long, b long").distinct())
-    total, got = true.count(), true.join(links, ["a", "b"]).count()
-    return (got / total if total else 1.0), true
+    return cut(found.select("point", "exact").mapInPandas(run, "a long, b long").distinct())
+
+
+def dense_members(links: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """point, component of all links; and of these the components that hold a saturated vector of `full`."""
+    joined = cut(components(links).select(F.col("node").alias("point"), "component"))
+    return joined, cut(joined.join(full, "point").select("component").distinct())
+
+
+def recall_of(true: DataFrame, listed: DataFrame, full: DataFrame) -> float:
+    """Share of the true links that the lists hold, or that enlarging finds: both ends in one dense component of the lists alone."""
+    joined, dense = dense_members(listed, full)
+    inside = joined.join(dense, "component")
+    missed = true.join(listed, ["a", "b"], "left_anti")
+    enlarged = missed.join(inside.select(F.col("point").alias("a"), "component"), "a").join(inside.select(F.col("point").alias("b"), "component"), ["b", "component"])
+    total = true.count()
+    return 1 - (missed.count() - enlarged.count()) / total if total else 1.0
 
 
 def whole_component_counts(found: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
@@ -253,24 +268,21 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     found, rows = points(vectors)
     n = found.count()
     first = found.select("exact").first()
-    graph = links = None
+    graph = None
     if n > 1:
         size = len(first["exact"]) // 8
         for turn in range(ENLARGE):
             fresh = start(found, n, size, k, [1 + STARTS * turn + i for i in range(STARTS)])
             graph = descend(cut(best(fresh if graph is None else graph.withColumn("new", F.lit(True)).unionByName(fresh), k)), found, k, n)
             listed = links_of(graph, found, threshold)
-            recall, true = audit(found, listed, threshold)
-            links = cut(listed.unionByName(true).distinct())
-            full = graph.where(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("point"))
-            joined = cut(components(links).select(F.col("node").alias("point"), "component"))
-            dense = cut(joined.join(full, "point").select("component").distinct())
-            # Links of saturated vectors beyond their lists count as missed only after enlarging, which finds those of a component.
-            outside = true.join(joined.select(F.col("point").alias("a"), "component"), "a").join(dense, "component", "left_anti")
-            missed = outside.join(listed, ["a", "b"], "left_anti").count()
-            if recall >= RECALL or missed <= (1 - RECALL) * max(1, outside.count()):
+            full = cut(graph.where(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("point")))
+            true = audit(found, threshold)
+            if recall_of(true, listed, full) >= RECALL:
                 break
             k *= 2
+        # Only now do the audit's own links count as found.
+        links = cut(listed.unionByName(true).distinct())
+        joined, dense = dense_members(links, full)
         both = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
         sparse = both.join(found.select(F.col("point").alias("other"), "weight"), "other").groupBy("point").agg(F.sum("weight").alias("n_links"))
         enlarged = whole_component_counts(found, joined.join(dense, "component"), threshold).withColumnRenamed("n_links", "n_whole")
