@@ -7,9 +7,9 @@ of packed 4-grams, read by binary search. A text goes to the language with the l
 per character. The margin to the second, times the root of the length, gives the score by a logistic
 curve fitted to labelled texts; texts scored under the rejection threshold are marked `rejected`.
 
-Counts cover all labelled documents. A model holds every 4-gram that makes up `LEAST_SHARE` of its
-language or more: all of them in fewer than 1 / `LEAST_SHARE` characters, and never more than that
-many, whatever the size of the corpus, which bounds what is sent to each executor. Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
+Counts cover all labelled documents, and a model holds every 4-gram counted, so that discounts,
+continuation counts and totals are those of the whole corpus. What is sent to each executor grows with
+the distinct 4-grams, not with the texts. Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
 a null doc_id too, but nothing is learned from them. Extra columns are not read.
 """
 
@@ -29,7 +29,6 @@ from placemetrics.llm.words import WordRows, batches, sums
 from placemetrics.session import cut
 
 ORDER = 4
-LEAST_SHARE = 1e-6
 CALIBRATION = 4_000
 REJECT_RATE = 0.01
 UNKNOWN = "und"
@@ -100,8 +99,8 @@ class KneserNey:
         return np.log(p)
 
 
-def gram_counts(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """lang, gram, n over all whole texts, for the n-grams of the least share of their language or more."""
+def gram_counts(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """lang, gram, n over all whole texts; where a least share is asked for, only the n-grams of that share of their language or more."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = defaultdict(list)
@@ -127,6 +126,8 @@ def gram_counts(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
             yield flush(lang)
 
     counted = cut(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if not least_share:
+        return counted
     least = counted.groupBy("lang").agg((F.sum("n") * least_share).alias("least"))
     return counted.join(least, "lang").where("n >= least").select("lang", "gram", "n")
 
@@ -136,7 +137,7 @@ class Models:
 
     def __init__(self, table: pd.DataFrame) -> None:
         self.names = sorted(table["lang"].unique())
-        self.models = [KneserNey(t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for _, t in sorted(table.groupby("lang"), key=lambda x: x[0])]
+        self.models = [KneserNey(t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for _, t in sorted(table.groupby("lang", observed=True), key=lambda x: x[0])]
         self.slope, self.intercept, self.reject_under = 4.0, 0.0, 0.0
 
     def word_rows(self) -> WordRows:
@@ -185,9 +186,9 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.intercept, -30, 30)))
 
 
-def train(docs: DataFrame, least_share: float = LEAST_SHARE, calibration: int = CALIBRATION) -> Models | None:
+def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models | None:
     """Models of all languages of the documents given; None where none has a language."""
-    table = gram_counts(docs, least_share).toPandas()
+    table = gram_counts(docs).toArrow().to_pandas(strings_to_categorical=True)
     if not len(table):
         return None
     models = Models(table)
