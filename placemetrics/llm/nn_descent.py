@@ -2,13 +2,16 @@
 
 Every vector keeps a list of its nearest neighbours. A round sends each vector's list, and who lists
 it, to one place, compares these neighbours' neighbours with one another, and keeps the best; pairs
-that were compared in an earlier round are passed over. Rounds end when few lists change. Then:
+whose entries both took part in an earlier round are passed over. Rounds end when few lists change. Then:
 
 - lists full of links (cosine of the threshold or more) are saturated: the lists of all members of
   such a vector's component are enlarged to the whole component, compared in slices;
 - recall is audited on a bounded sample against all vectors; a link counts as found that the lists hold
   or that such an enlarged component of the lists holds. As long as recall is under `RECALL` the rounds
-  go on with longer lists and fresh random neighbours.
+  go on with longer lists and fresh random neighbours;
+- if it still is after `ENLARGE` turns, all vectors are compared with all others in blocks, which is exact.
+
+The recall of every turn is logged.
 
 Neighbours are sought with half-precision copies of the vectors; a link is only what double precision
 confirms. Equal vectors form one point with a weight, so copies cost nothing.
@@ -20,6 +23,7 @@ rows are further vectors: each counts the others as links. Extra columns are not
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,14 +149,23 @@ def edges_of(names: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.repeat(names, k), "v": names[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel(), "new": True})
 
 
+def chosen_readers(graph: DataFrame, k: int) -> DataFrame:
+    """at, member, new: of those that list a vector as many as it lists itself, the new ones first, in a fixed random order."""
+    readers = graph.select(F.col("v").alias("at"), F.col("u").alias("member"), "new")
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("at", "member")))
+    return readers.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def settled(graph: DataFrame, k: int) -> DataFrame:
+    """The lists after a comparison: an entry is old only if its reader was among those chosen; the others wait, still new."""
+    took = chosen_readers(graph, k).select(F.col("member").alias("u"), F.col("at").alias("v"), F.lit(True).alias("took"))
+    return graph.join(took, ["u", "v"], "left").select("u", "v", "sim", (F.col("new") & F.col("took").isNull()).alias("new"))
+
+
 def compare(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Better neighbours found by comparing the members of each list, and of each list's readers, with one another."""
     forward = graph.select(F.col("u").alias("at"), F.col("v").alias("member"), "new")
-    readers = graph.select(F.col("v").alias("at"), F.col("u").alias("member"), "new")
-    # Of those that list a vector as many as it lists itself, the new ones first, in a fixed random order.
-    chosen = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("at", "member")))
-    readers = readers.withColumn("place", chosen).where(F.col("place") <= k).drop("place")
-    members = forward.unionByName(readers).groupBy("at", "member").agg(F.max("new").alias("new"))
+    members = forward.unionByName(chosen_readers(graph, k)).groupBy("at", "member").agg(F.max("new").alias("new"))
     fresh = members.groupBy("at").agg(F.max("new").alias("any")).where("any").select("at")
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     known = found.select(F.col("point").alias("member"), "half").join(worst.select(F.col("u").alias("member"), F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).cast("float").alias("worst")), "member", "left")
@@ -183,8 +196,7 @@ def compare(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
 def descend(graph: DataFrame, found: DataFrame, k: int, n: int, rounds: int = ROUNDS) -> DataFrame:
     """Lists after rounds of comparing neighbours' neighbours."""
     for _ in range(rounds):
-        old = graph.withColumn("new", F.lit(False))
-        graph = cut(best(old.unionByName(compare(graph, found, k)), k))
+        graph = cut(best(settled(graph, k).unionByName(compare(graph, found, k)), k))
         if graph.where("new").count() < 0.05 * n * k:
             break
     return graph
@@ -241,8 +253,28 @@ def recall_of(true: DataFrame, listed: DataFrame, full: DataFrame) -> float:
     return 1 - (missed.count() - enlarged.count()) / total if total else 1.0
 
 
-def whole_component_counts(found: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
-    """point, n_links of all members of the components given (point, component), each compared with its whole component in slices."""
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect all that a block of links connects."""
+    rows, columns = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)  # not yet reached
+    out: list[tuple[int, int]] = []
+    for root in np.flatnonzero(near.any(axis=1)):
+        if not rows[root]:
+            continue
+        rows[root], stack = False, [(int(root), True)]
+        while stack:
+            i, is_row = stack.pop()
+            line, left = (near[i], columns) if is_row else (near[:, i], rows)
+            fresh = np.flatnonzero(line & left)
+            left[fresh] = False
+            out += [(i, j) if is_row else (j, i) for j in fresh.tolist()]
+            stack += [(j, not is_row) for j in fresh.tolist()]
+    a = np.array(out, np.int64).reshape(-1, 2)
+    return a[:, 0], a[:, 1]
+
+
+def compared_in_blocks(found: DataFrame, member: DataFrame, threshold: float, connect: bool = False) -> DataFrame:
+    """point, n_links (parts to be summed) of all members of the groups given (point, component), each compared with its whole
+    group in slices; to `connect`, also rows with another point in `other`, which link all that is connected."""
     sizes = member.groupBy("component").agg(F.count("*").alias("size"))
     rows = member.join(sizes, "component").join(found.select("point", "weight", "exact"), "point")
     slices = F.ceil(F.col("size") / SLICE).cast("int")
@@ -258,9 +290,38 @@ def whole_component_counts(found: DataFrame, member: DataFrame, threshold: float
                 if len(a) and len(b):
                     near = matrix(a["exact"], "<f8") @ matrix(b["exact"], "<f8").T >= threshold
                     near &= a["point"].to_numpy()[:, None] != b["point"].to_numpy()[None, :]
-                    yield pd.DataFrame({"point": a["point"], "n_links": near @ b["weight"].to_numpy()})
+                    yield pd.DataFrame({"point": a["point"], "n_links": near @ b["weight"].to_numpy(), "other": None})
+                    if connect and a["i"].iloc[0] <= a["j"].iloc[0]:
+                        at, other = forest(near)
+                        yield pd.DataFrame({"point": a["point"].to_numpy()[at], "n_links": 0, "other": b["point"].to_numpy()[other]})
+
+    return tasks.repartition("task").sortWithinPartitions("task").mapInPandas(run, "point long, n_links long, other long")
+
+
+def whole_component_counts(found: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+    """point, n_links of all members of the components given (point, component)."""
+    return compared_in_blocks(found, member, threshold).groupBy("point").agg(F.sum("n_links").alias("n_links"))
+
+
+def exact_counts(found: DataFrame, threshold: float) -> DataFrame:
+    """point, n_links, component of every point by comparing all with all."""
+    pairs = cut(compared_in_blocks(found, found.select("point", F.lit(0).alias("component")), threshold, connect=True))
+    joined = components(pairs.where("other IS NOT NULL").select(F.col("point").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("point"), "component")
+    sums = pairs.groupBy("point").agg(F.sum("n_links").alias("n_links"))
+    return (found.select("point", "weight").join(sums, "point", "left").join(joined, "point", "left")
+            .select("point", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component")))
+
 
-    return tasks.repartition("task").sortWithinPartitions("task").mapInPandas(run, "point long, n_links long").groupBy("point").agg(F.sum("n_links").alias("n_links"))
+def counts_from_lists(found: DataFrame, listed: DataFrame, true: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """point, n_links, component of every point from the listed links, the audit's and the enlarged components."""
+    # Only now do the audit's own links count as found.
+    links = cut(listed.unionByName(true).distinct())
+    joined, dense = dense_members(links, full)
+    both = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
+    sparse = both.join(found.select(F.col("point").alias("other"), "weight"), "other").groupBy("point").agg(F.sum("weight").alias("n_links"))
+    enlarged = whole_component_counts(found, joined.join(dense, "component"), threshold).withColumnRenamed("n_links", "n_whole")
+    return (found.select("point", "weight").join(joined, "point", "left").join(sparse, "point", "left").join(enlarged, "point", "left")
+              .select("point", (F.coalesce("n_whole", "n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component")))
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST) -> DataFrame:
@@ -277,17 +338,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
             listed = links_of(graph, found, threshold)
             full = cut(graph.where(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("point")))
             true = audit(found, threshold)
-            if recall_of(true, listed, full) >= RECALL:
+            recall = recall_of(true, listed, full)
+            logging.getLogger(__name__).info("turn %d: audited recall %.5f with lists of %d", turn + 1, recall, k)
+            if recall >= RECALL:
                 break
             k *= 2
-        # Only now do the audit's own links count as found.
-        links = cut(listed.unionByName(true).distinct())
-        joined, dense = dense_members(links, full)
-        both = links.select(F.col("a").alias("point"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("point"), F.col("a").alias("other")))
-        sparse = both.join(found.select(F.col("point").alias("other"), "weight"), "other").groupBy("point").agg(F.sum("weight").alias("n_links"))
-        enlarged = whole_component_counts(found, joined.join(dense, "component"), threshold).withColumnRenamed("n_links", "n_whole")
-        counts = (found.select("point", "weight").join(joined, "point", "left").join(sparse, "point", "left").join(enlarged, "point", "left")
-                  .select("point", (F.coalesce("n_whole", "n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component")))
+        counts = counts_from_lists(found, listed, true, full, threshold) if recall >= RECALL else exact_counts(found, threshold)
     else:
         counts = found.select("point", (F.col("weight") - 1).alias("n_links"), F.col("point").alias("component"))
     named = rows.join(counts, "point").select("vec_id", "n_links", "component")
