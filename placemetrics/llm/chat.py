@@ -46,8 +46,8 @@ ESCAPED = r"([\[<])\\(\\*)(/?INST\]|/s>)"
 #: A token for budgets: up to six letters or digits, or one other sign.
 TOKEN = r"[\p{L}\p{N}]{1,6}|[^\x20\x09-\x0D\p{L}\p{N}]"
 
-# Kinds of rows of a block: a sign that the conversation has several blocks, turns carried into it, its own.
-MANY, SYSTEM, BEFORE, OWN = range(4)
+# Kinds of rows of a block: turns carried into it, and its own.
+SYSTEM, BEFORE, OWN = range(3)
 
 
 def escape(text: Column) -> Column:
@@ -64,64 +64,58 @@ def count_tokens(text: Column) -> Column:
 
 
 def turns(conversations: DataFrame, tokens: Callable[[Column], Column] = count_tokens, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, turn, role, body (escaped), tokens of every row."""
+    """conv, block, turn, role, body (escaped), tokens of every row. `conv` holds the conv_id and is itself never null, so null ids meet like others."""
     role, text = (escape(F.coalesce(F.col(c), F.lit(""))) for c in ("role", "text"))
     number = F.col("turn").cast("long")
-    plain = conversations.select("conv_id", F.coalesce(F.floor(number / F.lit(block)), F.lit(UNNUMBERED)).alias("block"), number.alias("turn"),
+    plain = conversations.select(F.struct("conv_id").alias("conv"), F.coalesce(F.floor(number / F.lit(block)), F.lit(UNNUMBERED)).alias("block"), number.alias("turn"),
                                  role.alias("role"), text.alias("body"))
     return plain.withColumn("tokens", tokens(F.col("role")) + tokens(F.col("body")) + 3)
 
 
-def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of the blocks named in `keys`, with the other columns of `keys`; null keys are equal."""
-    named = keys.select(F.col("conv_id").alias("k_conv"), F.col("block").alias("k_block"), *(c for c in keys.columns if c not in ("conv_id", "block")))
-    return rows.join(named, F.col("conv_id").eqNullSafe(F.col("k_conv")) & F.col("block").eqNullSafe(F.col("k_block"))).drop("k_conv", "k_block")
-
-
 def carried(rows: DataFrame, history: int) -> DataFrame:
-    """Rows that blocks of a conversation of several get from the blocks before: its system turn, the last turns, and a sign.
+    """conv, block, before: the turns that blocks of a conversation of several blocks get from those before; none for the first.
 
-    Blocks are told from the two key columns alone; conversations of one block have no part in the rest.
+    Blocks are told from the two key columns alone; conversations of one block have no row here. The
+    turns are dealt by (conv, block) as for the windows, so the shuffle is the same one.
     """
-    order = Window.partitionBy("conv_id").orderBy("block")
-    keys = rows.select("conv_id", "block").distinct().select(
-        "conv_id", "block", F.lead("block").over(order).alias("next"), F.lag("block").over(order).alias("previous"))
+    order = Window.partitionBy("conv").orderBy("block")
+    keys = rows.select("conv", "block").distinct().select("conv", "block", F.lead("block").over(order).alias("next"), F.lag("block").over(order).alias("previous"))
     several = keys.where("next IS NOT NULL OR previous IS NOT NULL")
-    signs = several.select("conv_id", "block", F.lit(MANY).alias("kind"), F.lit(None).cast("long").alias("turn"),
-                           F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("body"), F.lit(0).cast("long").alias("tokens"))
-
-    near = Window.partitionBy("conv_id", "next")
-    ends = _meet(rows, several.where("next IS NOT NULL").select("conv_id", "block", "next", F.col("previous").isNull().alias("first")))
-    # The system turn stands in front of every window and is no history.
-    ends = ends.withColumn("place", F.row_number().over(near.orderBy("turn", "role", "body"))).where(~(F.col("first") & (F.col("place") == 1) & (F.col("role") == "system")))
-    ends = ends.withColumn("k", F.row_number().over(near.orderBy(F.desc("place")))).where(F.col("k") <= history)
-    before = ends.select("conv_id", F.col("next").alias("block"), F.lit(BEFORE).alias("kind"), "turn", "role", "body", "tokens")
 
-    first = _meet(rows, several.where("previous IS NULL").select("conv_id", "block")).groupBy("conv_id").agg(F.min(F.struct("turn", "role", "body", "tokens")).alias("t"))
-    system = first.where("t.role = 'system'").select(F.col("conv_id").alias("s_conv"), "t")
-    later = several.where("previous IS NOT NULL").select("conv_id", "block")
-    heads = later.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select("conv_id", "block", F.lit(SYSTEM).alias("kind"), "t.*")
-    return signs.unionByName(before).unionByName(heads)
+    near = Window.partitionBy("conv", "block")
+    met = rows.join(several, ["conv", "block"]).withColumn("place", F.row_number().over(near.orderBy("turn", "role", "body")))
+    is_system = F.col("previous").isNull() & (F.col("place") == 1) & (F.col("role") == "system")
+    turn = F.struct("turn", "role", "body", "tokens")
+    ends = met.where(~is_system & F.col("next").isNotNull()).withColumn("k", F.row_number().over(near.orderBy(F.desc("place")))).where(F.col("k") <= history)
+    before = ends.select("conv", F.col("next").alias("block"), F.struct(F.lit(BEFORE).alias("kind"), "turn", "role", "body", "tokens").alias("t"))
+    system = met.where(is_system).select("conv", turn.alias("system"))
+    heads = several.where("previous IS NOT NULL").select("conv", "block").join(system, "conv").select(
+        "conv", "block", F.struct(F.lit(SYSTEM).alias("kind"), "system.*").alias("t"))
+    signs = several.select("conv", "block", F.lit(None).cast(heads.schema["t"].dataType).alias("t"))
+    return before.unionByName(heads).unionByName(signs).groupBy("conv", "block").agg(F.sort_array(F.collect_list("t")).alias("before"))
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS,
                    tokens: Callable[[Column], Column] = count_tokens, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, window, several, n_context, n_turns, tokens, text, loss for every window.
+    """conv (conv_id in a struct, the key it is dealt by), conv_id, block, window, several, n_context, n_turns, tokens, text, loss for every window.
 
     The first n_context turns of `text` are repeated ones, the other n_turns new. `loss` holds the
     spans (start, length in code points) of `text` that are learned from. `several` tells that the
     conversation has more blocks.
     """
     own = turns(conversations, tokens, block)
-    rows = own.withColumn("kind", F.lit(OWN)).unionByName(carried(own, history))
-    whole = Window.partitionBy("conv_id", "block")
+    whole = Window.partitionBy("conv", "block")
     order = whole.orderBy("kind", "turn", "role", "body")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("least", F.min("kind").over(whole))
-    # Later blocks always have carried turns, so a block with none but its own (and the sign) is the first.
-    rows = rows.withColumn("later", F.max(F.col("kind").isin(SYSTEM, BEFORE)).over(whole)).withColumn("several", F.col("least") == MANY).where(F.col("kind") != MANY)
-    begins = (F.col("kind") == OWN) & (F.col("role") == "system") & ~F.col("later") & (F.col("place") == F.when(F.col("several"), 2).otherwise(1))
+    rows = own.join(carried(own, history), ["conv", "block"], "left")
+    # The carried turns come in with the first turn of the block.
+    rows = rows.withColumn("first", F.row_number().over(whole.orderBy("turn", "role", "body")) == 1)
+    rows = rows.withColumn("several", F.col("before").isNotNull()).withColumn("later", F.coalesce(F.size("before"), F.lit(0)) > 0)
+    one = F.array(F.struct(F.lit(OWN).alias("kind"), "turn", "role", "body", "tokens"))
+    rows = rows.select("conv", "block", "several", "later", F.inline(F.when(F.col("first") & F.col("later"), F.concat("before", one)).otherwise(one)))
+    rows = rows.withColumn("place", F.row_number().over(order))
+    begins = (F.col("kind") == OWN) & (F.col("role") == "system") & ~F.col("later") & (F.col("place") == 1)
     rows = rows.withColumn("is_system", (F.col("kind") == SYSTEM) | begins)
     rows = rows.withColumn("new", (F.col("kind") == OWN) & ~F.col("is_system"))
     rows = rows.select("*", F.max(F.when(F.col("is_system"), F.struct("role", "body", "tokens"))).over(whole).alias("system"), F.sum(F.when(F.col("new"), F.col("tokens")).otherwise(0)).over(whole).alias("total"))
@@ -141,7 +135,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         weight = weight + F.lead("tokens", k - 1).over(order)
         begin, end = F.lead("window", k - 1).over(order), F.lead("window", k).over(order)
         places.append(F.when(~F.col("is_system") & (end > begin) & (weight <= history_tokens), F.struct(end.alias("window"), F.lit(True).alias("again"))))
-    rows = rows.select("conv_id", "block", "several", "later", "place", "role", "body", "tokens", "system", F.array_compact(F.array(*places)).alias("places"))
+    rows = rows.select("conv", "block", "several", "later", "place", "role", "body", "tokens", "system", F.array_compact(F.array(*places)).alias("places"))
     shown = rows.select("*", F.inline("places")).drop("places")
 
     # Every window that is not the very first gets the system turn in front of all.
@@ -149,14 +143,14 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     shown = shown.withColumn("head", head)
     piece = _written("role", "body")
     front = F.coalesce(F.length(_written("head.role", "head.body")), F.lit(0))
-    inside = Window.partitionBy("conv_id", "block", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("conv", "block", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shown = shown.withColumn("start", front + F.sum(F.length(piece)).over(inside) - F.length(F.lit(END)) - F.length("body"))
     learned = F.when((F.col("role") == "assistant") & ~F.col("again"), F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length")))
-    made = shown.groupBy("conv_id", "block", "window").agg(
+    made = shown.groupBy("conv", "block", "window").agg(
         F.max("several").alias("several"), F.sum(F.col("again").cast("long")).alias("again"), F.sum((~F.col("again")).cast("long")).alias("n_turns"), F.sum("tokens").alias("tokens"),
         F.max("head").alias("head"), F.sort_array(F.collect_list(F.struct("place", piece.alias("piece")))).alias("pieces"), F.sort_array(F.collect_list(learned)).alias("loss"))
     has = F.col("head").isNotNull().cast("long")
-    return made.select("conv_id", "block", "window", "several", (F.col("again") + has).alias("n_context"), "n_turns", (F.col("tokens") + F.coalesce("head.tokens", F.lit(0))).alias("tokens"),
+    return made.select("conv", F.col("conv.conv_id").alias("conv_id"), "block", "window", "several", (F.col("again") + has).alias("n_context"), "n_turns", (F.col("tokens") + F.coalesce("head.tokens", F.lit(0))).alias("tokens"),
                        F.concat(F.coalesce(_written("head.role", "head.body"), F.lit("")), F.array_join("pieces.piece", "")).alias("text"), "loss")
 
 
@@ -183,14 +177,14 @@ def digests(windows: DataFrame) -> DataFrame:
     Windows of a block lie together already. Of conversations with one block only digests are moved.
     """
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = read_back(windows).select("conv_id", "block", "window", "several", "n_turns", lines.alias("lines"), F.array_join("learned", "").alias("loss"), F.length("text").cast("long").alias("chars"))
-    blocks = read.groupBy("conv_id", "block").agg(
+    read = read_back(windows).select("conv", "block", "window", "several", "n_turns", lines.alias("lines"), F.array_join("learned", "").alias("loss"), F.length("text").cast("long").alias("chars"))
+    blocks = read.groupBy("conv", "block").agg(
         F.max("several").alias("several"), F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("chars"), F.sum(F.length("loss")).alias("loss_chars"),
         F.sort_array(F.collect_list(F.struct("window", "lines", "loss"))).alias("w"))
     joined = blocks.select("*", F.array_join("w.lines", "").alias("lines"), F.array_join("w.loss", "").alias("loss")).drop("w")
-    light = joined.select("conv_id", "n_turns", "chars", "loss_chars", *(F.when(~F.col("several"), F.sha2(c, 256)).alias(f"{c}_sha256") for c in ("lines", "loss")),
+    light = joined.select("conv", "n_turns", "chars", "loss_chars", *(F.when(~F.col("several"), F.sha2(c, 256)).alias(f"{c}_sha256") for c in ("lines", "loss")),
                           F.when(F.col("several"), F.struct("block", "lines", "loss")).alias("part"))
-    found = light.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("chars"), F.sum("loss_chars").alias("loss_chars"),
+    found = light.groupBy("conv").agg(F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("chars"), F.sum("loss_chars").alias("loss_chars"),
                                          F.max("lines_sha256").alias("lines_sha256"), F.max("loss_sha256").alias("loss_sha256"), F.sort_array(F.collect_list("part")).alias("parts"))
-    return found.select("conv_id", "n_turns", F.coalesce("lines_sha256", F.sha2(F.array_join("parts.lines", ""), 256)).alias("turns_sha256"), F.col("loss_chars").cast("long").alias("loss_chars"),
+    return found.select("conv.conv_id", "n_turns", F.coalesce("lines_sha256", F.sha2(F.array_join("parts.lines", ""), 256)).alias("turns_sha256"), F.col("loss_chars").cast("long").alias("loss_chars"),
                         F.coalesce("loss_sha256", F.sha2(F.array_join("parts.loss", ""), 256)).alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
