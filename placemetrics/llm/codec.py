@@ -17,12 +17,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.bpe import VOCABULARY, WordEncoder, encoder, split_words
-from placemetrics.llm.words import batches
+from placemetrics.llm.words import batches, thrifty
+from placemetrics.llm.words import pieces as slices
 
 LEAF_CHARS = 16_384
 #: Words a task remembers here.
@@ -69,91 +70,110 @@ def join_all(enc: WordEncoder, parts: list[Part]) -> Part:
     return parts[0]
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS, then: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS, then: Callable[[list[bytes]], list[pa.Array]] | None = None,
            schema: str = "ids binary") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit numbers, as binary) of every row.
 
-    `then` turns rows of doc_id and ids into others (doc_id and `schema`) in the task that encoded them.
+    `then` turns the ids of some texts into other columns (those of `schema`) in the task that encoded
+    them. Ids of documents pass as Arrow columns, so large ones next to nulls stay as they are.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    then = then or (lambda rows: rows)
+    then = then or (lambda ids: [pa.array(ids, pa.binary())])
+    names = ["doc_id", *(c.split()[0] for c in schema.split(","))]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, limit=MEMO)
-        for part in parts:
-            rows, names = part["text"].tolist(), part["doc_id"]
+        for part in slices(parts):
+            rows, doc_ids = part.column("text").to_pylist(), part.column("doc_id")
             for s in batches(rows):
                 ids, counts = enc.texts(rows[s])
                 cuts = np.concatenate([[0], np.cumsum(counts)])
-                yield then(pd.DataFrame({"doc_id": names.iloc[s].to_numpy(), "ids": [ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]}))
+                made = then([ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(s.start, s.stop - s.start), *made], names)
+
+    short = texts.where(F.length("text") <= leaf).mapInArrow(thrifty(whole), f"doc_id {kind}, {schema}")
+
+    def cut_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(parts, 1):
+            text = part.column("text")[0].as_py()
+            n = -(-len(text) // leaf)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([0] * n)), pa.array([text[k * leaf:(k + 1) * leaf] for k in range(n)]),
+                                              part.column("row").take(pa.array([0] * n)), pa.array([len(text)] * n, pa.int64()), pa.array(range(n), pa.int32())],
+                                             ["doc_id", "text", "row", "size", "leaf"])
 
-    short = texts.where(F.length("text") <= leaf).mapInPandas(whole, f"doc_id {kind}, {schema}")
     # Rows are told apart by content: equal rows share their leaves, each then standing once per copy.
-    leaves = (texts.where(F.length("text") > leaf)
-              .withColumn("row", F.xxhash64("doc_id", "text", F.lit("row"))).withColumn("size", F.length("text"))
-              .withColumn("leaf", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / leaf).cast("int"))))
-              .withColumn("text", F.substring(F.col("text"), F.col("leaf") * leaf + 1, F.lit(leaf))))
-    spread = leaves.repartition(F.xxhash64("row", "leaf"))
+    long = texts.where(F.length("text") > leaf).withColumn("row", F.xxhash64("doc_id", "text", F.lit("row")))
+    spread = long.mapInArrow(thrifty(cut_up), f"doc_id {kind}, text string, row long, size long, leaf int").repartition(F.xxhash64("row", "leaf"))
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, limit=MEMO)
-        for part in parts:
-            got = [leaf_part(enc, t) for t in part["text"]]
-            yield part.assign(ids=[p.ids.astype("<u4").tobytes() for p in got], counts=[p.counts.astype("<u4").tobytes() for p in got])
+        for part in slices(parts):
+            got = [leaf_part(enc, t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p.ids.astype("<u4").tobytes() for p in got], pa.binary()), pa.array([p.counts.astype("<u4").tobytes() for p in got], pa.binary())],
+                                             [*part.schema.names, "ids", "counts"])
 
-    encoded = spread.mapInPandas(each, spread.schema.simpleString()[7:-1] + ", ids binary, counts binary")
+    encoded = spread.mapInArrow(thrifty(each), spread.schema.simpleString()[7:-1] + ", ids binary, counts binary")
 
-    def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, limit=MEMO)
         key, doc_id, held, copies, last = None, None, [], 0, -1
 
-        def done() -> pd.DataFrame:
-            return then(pd.DataFrame({"doc_id": pd.Series([doc_id] * copies, dtype=object), "ids": [join_all(enc, held).ids.astype("<u4").tobytes()] * copies}))
+        def done() -> pa.RecordBatch:
+            made = then([join_all(enc, held).ids.astype("<u4").tobytes()])
+            return pa.RecordBatch.from_arrays([c.take(pa.array([0] * copies)) for c in (doc_id, *made)], names)
 
-        for part in parts:
-            for r in part.itertuples(index=False):
-                if (r.row, r.size) != key:
+        for part in slices(parts):
+            columns = (part.column(c).to_pylist() for c in ("row", "size", "leaf", "text", "ids", "counts"))
+            for k, (row, size, number, text, ids, counts) in enumerate(zip(*columns, strict=True)):
+                if (row, size) != key:
                     if held:
                         yield done()
-                    key, doc_id, held, copies, last = (r.row, r.size), r.doc_id, [], 0, -1
-                copies += r.leaf == 0
-                if r.leaf != last:
-                    held.append(Part(split_words(r.text), np.frombuffer(r.counts, "<u4").astype(np.int64), np.frombuffer(r.ids, "<u4")))
-                    last = r.leaf
+                    key, doc_id, held, copies, last = (row, size), part.column("doc_id").slice(k, 1), [], 0, -1
+                copies += number == 0
+                if number != last:
+                    held.append(Part(split_words(text), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")))
+                    last = number
         if held:
             yield done()
 
-    long = (encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInPandas(joined, f"doc_id {kind}, {schema}"))
-    return short.unionByName(long)
+    whole_again = encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInArrow(thrifty(joined), f"doc_id {kind}, {schema}")
+    return short.unionByName(whole_again)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; the text is decoded from the ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; the text is decoded from the ids.
+
+    A vocabulary without a decoder decodes to its tokens with a blank between them, which is done here
+    by table; one with a decoder is left to the library.
+    """
     made: dict[str, list[str]] = {}
 
-    def then(rows: pd.DataFrame) -> pd.DataFrame:
+    def then(rows: list[bytes]) -> list[pa.Array]:
+        tokenizer = encoder(vocabulary, limit=MEMO).tokenizer
         if not made:
-            tokenizer = encoder(vocabulary, limit=MEMO).tokenizer
             made["tokens"] = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
             made["numbers"] = [str(i) for i in range(len(made["tokens"]))]
-        sha = lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         out = []
-        for packed in rows["ids"]:  # one text at a time: its ids as Python numbers take many times their bytes
+        for packed in rows:  # one text at a time: its ids as Python numbers take many times their bytes
             ids = np.frombuffer(packed, "<u4").tolist()
-            out.append((len(ids), sha(map(made["numbers"].__getitem__, ids)), sha(map(made["tokens"].__getitem__, ids))))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=rows["doc_id"].to_numpy())
+            text = " ".join(map(made["tokens"].__getitem__, ids)) if tokenizer.decoder is None else tokenizer.decode(ids, skip_special_tokens=False)
+            out.append((len(ids), sha(" ".join(map(made["numbers"].__getitem__, ids))), sha(text)))
+        counts, numbers, texts = zip(*out, strict=True) if out else ((), (), ())
+        return [pa.array(counts, pa.int64()), pa.array(numbers, pa.string()), pa.array(texts, pa.string())]
 
     return encode(docs, vocabulary, leaf, then, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text of encoded rows: the vocabulary has no decoder, so tokens stand with a blank between them."""
+    """doc_id, text of encoded rows, as the library decodes them."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(vocabulary).tokenizer
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text": [tokenizer.decode(np.frombuffer(b, "<u4").tolist(), skip_special_tokens=False) for b in part["ids"]]})
+        for part in slices(parts):
+            texts = [tokenizer.decode(np.frombuffer(b, "<u4").tolist(), skip_special_tokens=False) for b in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

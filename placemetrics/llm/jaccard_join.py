@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemetrics.llm.components import components
-from placemetrics.llm.words import WordRows, batches, give_back, thrifty
+from placemetrics.llm.words import WordRows, batches, give_back, map_frames, thrifty
 from placemetrics.session import cut
 
 N = 5
@@ -92,7 +92,7 @@ def profile(docs: DataFrame, n: int = N) -> DataFrame:
             yield out.assign(**{"class": pd.array([c for _, c in sets], dtype="Int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, n_shingles long, class long")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, class long")
 
 
 def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import hashed_share
-from placemetrics.llm.words import WordRows, batches, sums
+from placemetrics.llm.words import WordRows, batches, map_frames, sums
 from placemetrics.session import cut
 
 ORDER = 4
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, models: Models | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": names, "score": p, "rejected": rejected})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placemetrics.llm.words import map_frames
+
 CLAUSE = re.compile(r".{1,63}?(?:[.!?;:,|] |\Z)|.{1,64}", re.DOTALL)
 SHOWN = 8
 ROWS_PER_BUCKET = 20_000
@@ -101,7 +103,7 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"range": place(about, part["doc_id"]), "doc_id": part["doc_id"].astype("Int64")})
 
     # The real first id of each range, at most one for each; the driver holds only these.
-    found = ids.mapInPandas(ranged, "range int, doc_id long").groupBy("range").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()
+    found = map_frames(ids, ranged, "range int, doc_id long").groupBy("range").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()
     firsts = sorted((r["range"], r["first"]) for r in found if r["first"] is not None)
     bounds = np.array([x for _, x in (firsts if any(r["nulls"] for r in found) else firsts[1:])], np.int64)
     last = len(bounds)
@@ -112,7 +114,7 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
             ahead = own[own["doc_id"].isin(bounds)]
             yield pd.concat([own, ahead.assign(range=ahead["range"] - 1, tail=1)]).astype({"doc_id": "Int64"})
 
-    dealt = texts.mapInPandas(deal, "doc_id long, text string, range int, tail int")
+    dealt = map_frames(texts, deal, "doc_id long, text string, range int, tail int")
     first = texts.orderBy(F.col("doc_id").asc_nulls_first(), "text").limit(1).select("doc_id", "text", F.lit(last).alias("range"), F.lit(2).alias("tail"))
     order = ["range", "tail", F.col("doc_id").asc_nulls_first(), "text"]
     rows = dealt.unionByName(first).repartition("range").sortWithinPartitions(*order)
@@ -132,7 +134,8 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     edited_mark = own_mark if edited == own else fingerprint(edited)
                     out.append((name, len(own), _sha(edited), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
                 held = None if tail else (at, None if pd.isna(doc_id) else int(doc_id), text, mark or fingerprint(text))
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            rows = pd.DataFrame([r[1:] for r in out], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield rows.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
-    done = rows.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = map_frames(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -22,12 +22,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placemetrics.llm.bpe import VOCABULARY, encoder
 from placemetrics.llm.words import batches, thrifty
+from placemetrics.llm.words import pieces as slices
 from placemetrics.session import cut
 
 CAPACITY = 2048
@@ -38,10 +39,10 @@ ROWS_PER_BUCKET = 5_000
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for part in parts:
-            texts, names = part["text"].fillna("").tolist(), part["doc_id"]
+        for part in slices(parts):
+            texts, names = [t or "" for t in part.column("text").to_pylist()], part.column("doc_id")
             for s in batches(texts):
                 ids, counts = enc.texts(texts[s])
                 rows, at = [], 0
@@ -51,12 +52,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
                     for piece, start in enumerate(range(0, len(own), capacity)):
                         x = own[start:start + capacity]
                         rows.append((s.start + k, piece, start, len(x), zlib.crc32(x.tobytes())))
-                out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = names.iloc[out.pop("k")].to_numpy()
-                yield out
+                k, *columns = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(k)), *map(pa.array, columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import labelled_texts
-from placemetrics.llm.words import WordRows, batches, keep_rows, sums, thrifty
+from placemetrics.llm.words import WordRows, batches, keep_rows, map_frames, sums, thrifty
 
 SAMPLE = 12_000
 PAIRS_PER_ROW = 8
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Ranking, predict_at: float = PREDICT_AT) -> Da
             yield pd.DataFrame({"doc_id": part["doc_id"], "score": p, "predicted": (p >= predict_at).astype(int)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, score double, predicted int")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
 
 
 def held_out(modulus: int, remainder: int) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+def _number(rows: DataFrame) -> Column:
+    """The id as a long where it is a number, so that its hash does not hang on its width; text ids as they are."""
+    return F.col("doc_id") if isinstance(rows.schema["doc_id"].dataType, StringType) else F.col("doc_id").cast("long")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -13,7 +19,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     least text is taken. Null ids and labels of no document are left out.
     """
     chosen = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.min(c).alias(c) for c in labels.columns if c != "doc_id"))
-              .orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(most))
+              .orderBy(F.xxhash64(_number(labels)), "doc_id").limit(most))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min(c).alias(c) for c in chosen.columns if c != "doc_id"))
 

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import labelled_texts
-from placemetrics.llm.words import WordRows, batches, keep_rows, sums, thrifty
+from placemetrics.llm.words import WordRows, batches, keep_rows, map_frames, thrifty
 
 SAMPLE = 6_000
 BITS = 20
 BEGINNINGS = (4, 5, 6, 7)
 PENALTY = 2e-4
 TELLING, STRONG = 4.0, 20.0
+MOST_OF_ONE = 3
 TOXIC_AT = 0.4
 
 
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     values = np.concatenate([np.frombuffer(b, "<i4") for b in got["counts"]]).astype(float)
     grades = severity_grades(rows, flat, toxic, size)
     keep = telling(rows, flat, toxic, size, TELLING)[flat]
-    rows, values = rows[keep], np.minimum(values[keep], 3)
+    rows, values = rows[keep], np.minimum(values[keep], MOST_OF_ONE)
     at, dense = np.unique(flat[keep], return_inverse=True)
     found = fit_ordinal(rows, dense, values, grades, len(at))
     weights = np.zeros(size)
@@ -147,13 +148,22 @@ class Scorer:
 
     def __init__(self, model: Ordinal) -> None:
         self.model = model
-        self.rows = WordRows(lambda words: model.weights[features_of(words)].sum(axis=1))
+        self.telling = np.append(0, np.flatnonzero(model.weights))  # number 0: a feature without weight
+        number = np.zeros(len(model.weights), np.int32)
+        number[self.telling[1:]] = np.arange(1, len(self.telling))
+        self.rows = WordRows(lambda words: number[features_of(words)])
 
     def above(self, texts: list[str]) -> np.ndarray:
         linear = np.zeros(len(texts))
         for s in batches(texts):
             split = [_distinct(t) for t in texts[s]]
-            linear[s] = sums(self.rows.get([w for ws in split for w in ws]), np.fromiter(map(len, split), np.int64))
+            found = self.rows.get([w for ws in split for w in ws])
+            word, place = np.nonzero(found)
+            # As in fitting, a feature counts MOST_OF_ONE times in a text at most, however many of its words have it.
+            key = np.repeat(np.arange(len(split)), [len(ws) for ws in split])[word] * len(self.telling) + found[word, place]
+            key, times = np.unique(key, return_counts=True)
+            weights = np.minimum(times, MOST_OF_ONE) * self.model.weights[self.telling[key % len(self.telling)]]
+            linear[s] = np.bincount(key // len(self.telling), weights, len(split))
         return self.model.above(linear)
 
 
@@ -182,7 +192,7 @@ def score(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFr
             yield pd.DataFrame({"doc_id": part["doc_id"], "severity": p.sum(axis=1).round(9), "grade": (p > 0.5).sum(axis=1), "p_toxic": p[:, 0].round(9), "toxic": p[:, 0] >= toxic_at})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def clean(docs: DataFrame, model: Ordinal, toxic_at: float = TOXIC_AT) -> DataFrame:

@@ -114,3 +114,20 @@ def keep_rows(docs, decide: Callable[[], Callable[[list[str]], np.ndarray]]):
             yield part.filter(pa.array(keeps([t or "" for t in part.column("text").to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(thrifty(run), docs.schema)
+
+
+def map_frames(df, run: Callable[[Iterator], Iterator], schema: str):
+    """Like mapInPandas, but whole numbers stay whole where a column holds nulls too (nullable integers in place of doubles)."""
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = to_arrow_schema(StructType.fromDDL(schema))
+    whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype()}
+
+    def wrapped(parts):
+        for out in run(part.to_pandas(types_mapper=whole.get) for part in parts):
+            yield pa.RecordBatch.from_pandas(out, schema=kept, preserve_index=False)
+
+    return df.mapInArrow(thrifty(wrapped), schema)
