@@ -3,7 +3,8 @@
 White space separates words for the normaliser and the pre-tokeniser of the vocabulary alike, so a
 text's ids are the ids of its words one after the other. Words are cut at spaces and line feeds
 only; everything else inside them (other white space, special strings, accents) is left to the
-library. Distinct words are encoded once per task (`words.Memo`).
+library. Distinct words are put together once per task (`words.Memo`); of Latin words the pieces of
+letters, digits and signs are told apart here, and each distinct piece goes through the merges once.
 
 Long unsplit stretches are encoded as a tree: halves apart, then joined. At a join a window of
 tokens on both sides is encoded anew and grows until its outermost tokens equal those of both
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -84,6 +86,93 @@ class Symbols:
             width *= 2
 
 
+class Ids:
+    """Lists of ids by number, one after the other in growing arrays."""
+
+    def __init__(self) -> None:
+        self.ids, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        last = self.count + len(lengths)
+        while last > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[self.count:last] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count:last] = lengths
+        self.used, self.count = self.used + len(ids), last
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the lists with these numbers, and how many each has."""
+        counts = self.lengths[at]
+        # Place of every id: the start of its list, and then one further for each id of the list.
+        place = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return self.ids[place], counts
+
+
+class PieceEncoder:
+    """Ids of Latin words, many words in one call: split into pieces together, each distinct piece through the merges once.
+
+    A piece's last token ends a word, which tells the pieces of a call of the merges apart again.
+    """
+
+    CALL = 2_000
+
+    def __init__(self, name: str, limit: int) -> None:
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        from placemetrics.llm.token_counts import LATIN_PIECES, UNSURE, byte_symbols
+        with open(vocabulary_file(name), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model["end_of_word_suffix"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # Pieces come once each, so the library's own memory of them would only cost.
+        self.merges = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.symbols, self.limit = dict(enumerate(byte_symbols())), limit
+        # Words stand with a blank between them; a word with a sign that is not plainly Latin is left to the library.
+        self.find = re.compile(LATIN_PIECES.pattern + "| ").findall
+        self.odd = re.compile(f"[^\x00-\u024f]|{UNSURE.pattern}")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.memo, self.known = Memo(), Ids()
+        # Number 0 is the blank between words, without ids.
+        self.memo.numbers([" "], 1)
+        self.memo.fresh = []
+        self.known.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def left_out(self, words: list[str]) -> np.ndarray:
+        """Which words are not plainly Latin."""
+        joined = " ".join(words).lower()
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+        out = np.zeros(len(words), bool)
+        out[np.searchsorted(blanks, [m.start() for m in self.odd.finditer(joined)])] = True
+        return out
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plainly Latin words one after the other, and how many each has."""
+        if len(self.memo) > self.limit:
+            self._reset()
+        pieces = self.find(" ".join(words).lower())
+        at = self.memo.numbers(pieces, len(pieces))
+        fresh, self.memo.fresh = self.memo.fresh, []
+        for i in range(0, len(fresh), self.CALL):
+            symbols = [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in fresh[i:i + self.CALL]]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(symbols)], add_special_tokens=False)[0].ids, np.uint32)
+            self.known.append(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        ids, counts = self.known.get(at)
+        ends = np.append(np.flatnonzero(at == 0), len(at))
+        return ids, np.diff(np.append(0, np.cumsum(counts))[ends], prepend=0)
+
+
 class WordEncoder:
     """Ids of whole texts, word by word."""
 
@@ -91,12 +180,9 @@ class WordEncoder:
         self.name, self.limit, self.leaf = name, limit, leaf
         self.tokenizer = load(name)
         self.symbols: Symbols | None = None
-        self._reset()
-
-    def _reset(self) -> None:
-        self.memo = Memo()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        # The split of Latin words is that of the default vocabulary; others go to the library word by word.
+        self.pieces = PieceEncoder(name, limit) if name == VOCABULARY else None
+        self.memo, self.known = Memo(), Ids()
 
     def _long(self, word: str) -> list[int]:
         """A long word: the library splits it, and long pieces become trees. Words that hold the
@@ -110,33 +196,34 @@ class WordEncoder:
         return out
 
     def _add(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= self.leaf]
-        got = iter(self.tokenizer.encode_batch_fast(short, add_special_tokens=False))
-        found = [next(got).ids if len(w) <= self.leaf else self._long(w) for w in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.memo) - len(words), int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.memo) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used:self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.starts[first:len(self.memo)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first:len(self.memo)] = lengths
-        self.used += total
+        """Plainly Latin words by their pieces, the others by the library; all in the order given."""
+        other = np.fromiter((len(w) > self.leaf for w in words), bool, len(words))
+        if self.pieces:
+            other |= self.pieces.left_out(["" if o else w for w, o in zip(words, other.tolist(), strict=True)])
+        else:
+            other[:] = True
+        lengths = np.zeros(len(words), np.int64)
+        plain = [w for w, o in zip(words, other.tolist(), strict=True) if not o]
+        ids, lengths[~other] = self.pieces.words(plain) if plain else (np.zeros(0, np.uint32), 0)
+        rest = [words[i] for i in np.flatnonzero(other)]
+        got = iter(self.tokenizer.encode_batch_fast([w for w in rest if len(w) <= self.leaf], add_special_tokens=False))
+        found = [next(got).ids if len(w) <= self.leaf else self._long(w) for w in rest]
+        lengths[other] = np.fromiter(map(len, found), np.int64, len(found))
+        from_rest = np.repeat(other, lengths)
+        out = np.zeros(len(from_rest), np.uint32)
+        out[~from_rest] = ids
+        out[from_rest] = np.fromiter((i for x in found for i in x), np.uint32)
+        self.known.append(out, lengths)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each word has."""
         if len(self.memo) > self.limit:
-            self._reset()
+            self.memo, self.known = Memo(), Ids()
         at = self.memo.numbers(words, len(words))
         if self.memo.fresh:
             fresh, self.memo.fresh = self.memo.fresh, []
             self._add(fresh)
-        counts = self.lengths[at]
-        # Place of every id: the start of its word, and then one further for each id of the word.
-        place = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        return self.ids[place], counts
+        return self.known.get(at)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
