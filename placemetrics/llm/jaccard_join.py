@@ -96,7 +96,11 @@ def profile(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
-    """Rows of (range, classes, sizes, counts, high, low): the n-grams of many classes in one hash range."""
+    """Rows of (range, classes, counts, high, low): the n-grams of many classes in one hash range.
+
+    With many ranges a class has few n-grams in each, so what stands there per class is kept small: its
+    name, and a count of one byte where that is enough.
+    """
 
     def flush(held: dict[int, np.ndarray]) -> pd.DataFrame:
         names, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
@@ -110,9 +114,9 @@ def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
             end = np.searchsorted(where, r, side="right")
             own, counts = np.unique(owner[cut_at:end], return_counts=True)
             g = grams[cut_at:end] & LOW48
-            rows.append((int(r), names[own].tobytes(), sizes[own].astype("<i4").tobytes(), counts.astype("<i4").tobytes(),
+            rows.append((int(r), names[own].tobytes(), counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes(),
                          (g >> np.uint64(32)).astype("<u2").tobytes(), g.astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["range", "classes", "sizes", "counts", "high", "low"])
+        return pd.DataFrame(rows, columns=["range", "classes", "counts", "high", "low"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
@@ -129,7 +133,7 @@ def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInPandas(thrifty(run), "range int, classes binary, sizes binary, counts binary, high binary, low binary")
+    return docs.select("text").mapInPandas(thrifty(run), "range int, classes binary, counts binary, high binary, low binary")
 
 
 def _numbers(rows: pd.Series, kind: str) -> np.ndarray:
@@ -141,8 +145,9 @@ def _shared(packed: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
     A key has the count of classes, reversed, above the low bits of the hash: ascending keys are the global order.
     """
-    columns = ["bucket", "classes", "sizes", "counts", "keys"]
-    names, sizes, counts = _numbers(packed["classes"], "<i8"), _numbers(packed["sizes"], "<i4"), _numbers(packed["counts"], "<i4")
+    columns = ["bucket", "classes", "counts", "keys"]
+    names = _numbers(packed["classes"], "<i8")
+    counts = np.concatenate([np.frombuffer(c, "<u1" if 8 * len(c) == len(k) else "<u4") for k, c in zip(packed["classes"], packed["counts"], strict=True)]).astype(np.int64)
     gram = (_numbers(packed["high"], "<u2").astype(np.uint64) << np.uint64(32)) | _numbers(packed["low"], "<u4")
     classes, first = np.unique(names, return_index=True)
     keep = np.zeros(len(names), bool)
@@ -159,26 +164,29 @@ def _shared(packed: pd.DataFrame, buckets: int) -> pd.DataFrame:
     owner = owner[many]
     if not len(key):
         return pd.DataFrame(columns=columns)
-    bucket = (classes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    size_of = sizes[first]
+    bucket = classes % buckets
     order = np.lexsort((owner, bucket[owner]))
     key, owner = key[order], owner[order]
     ends = np.flatnonzero(np.concatenate([bucket[owner][1:] != bucket[owner][:-1], [True]])) + 1
     rows, at = [], 0
     for end in ends:
         own, n = np.unique(owner[at:end], return_counts=True)
-        rows.append((int(bucket[own[0]]), classes[own].tobytes(), size_of[own].astype("<i4").tobytes(), n.astype("<i4").tobytes(), key[at:end].tobytes()))
+        rows.append((int(bucket[own[0]]), classes[own].tobytes(), n.astype("<i4").tobytes(), key[at:end].tobytes()))
         at = end
     return pd.DataFrame(rows, columns=columns)
 
 
 def _survivors(part: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """class, n, keys (sorted), rare (the rarest, one of which any partner shares) of classes that share enough."""
-    names, sizes, counts = _numbers(part["classes"], "<i8"), _numbers(part["sizes"], "<i4"), _numbers(part["counts"], "<i4")
-    keys = _numbers(part["keys"], "<u8")
-    classes, at, owner = np.unique(names, return_index=True, return_inverse=True)
+    """class, n, keys (sorted), rare (the rarest, one of which any partner shares) of classes that share enough.
+
+    Rows with a `class` tell the sizes of the sets, the others hold n-grams.
+    """
+    sized, part = part[part["class"].notna()].sort_values("class"), part[part["class"].isna()]
+    names, counts, keys = _numbers(part["classes"], "<i8"), _numbers(part["counts"], "<i4"), _numbers(part["keys"], "<u8")
+    classes, owner = np.unique(names, return_inverse=True)
     owner = np.repeat(owner, counts)
-    total, n = np.bincount(owner, minlength=len(classes)), sizes[at].astype(np.int64)
+    total = np.bincount(owner, minlength=len(classes))
+    n = sized["n"].to_numpy(np.int64)[np.searchsorted(sized["class"].to_numpy(np.int64), classes)]
     good = total >= needed(n, percent)
     keep = good[owner]
     keys, owner = keys[keep], owner[keep]
@@ -312,8 +320,8 @@ def _links(spark: SparkSession, sets: DataFrame, percent: int, block_size: int)
     centre = rare.groupBy("gram").agg(F.min("class").alias("centre"))
     near = rare.join(centre, "gram").where("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b"))
     block = components(near).select(F.col("node").alias("class"), F.col("component").alias("block"))
-    sizes = block.groupBy("block").agg(F.count("*").alias("size"))
-    known = cut(sets.drop("rare").join(block, "class").join(sizes, "block"))
+    sized = block.join(block.groupBy("block").agg(F.count("*").alias("size")), "block")
+    known = cut(sets.drop("rare").join(sized, "class"))
 
     def small(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(parts, ["block"]):
@@ -384,13 +392,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
         give_back()
         return out
 
-    def gathered(part: pd.DataFrame) -> pd.DataFrame:
-        out = _survivors(part, percent)
-        give_back()
-        return out
+    def gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(parts, ["bucket"]):
+            yield _survivors(group, percent)
 
-    shared = packed.groupBy("range").applyInPandas(counted, "bucket int, classes binary, sizes binary, counts binary, keys binary")
-    sets = cut(shared.groupBy("bucket").applyInPandas(gathered, "class long, n long, keys binary, rare array<long>"))
+    shared = packed.groupBy("range").applyInPandas(counted, "bucket int, classes binary, counts binary, keys binary")
+    sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n")).select(F.pmod("class", F.lit(ranges)).cast("int").alias("bucket"), "class", "n")
+    by_bucket = shared.unionByName(sizes, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    sets = cut(map_frames(by_bucket, gathered, "class long, n long, keys binary, rare array<long>"))
     joined = components(_links(spark, sets, percent, block_size))
     names = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     linked = names.join(joined, names["class"] == joined["node"])
