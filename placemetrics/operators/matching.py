@@ -9,12 +9,14 @@ and inside arrays alike.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placemetrics.operators.catalog import POLICY_LOANS, PRIMARY_METHODS
 from placemetrics.operators.quality import first_reason, issue_array
+from placemetrics.session import cut
 
 # Keys, groups, tabs and marks in display order.
 CONDITIONS = ("stage", "business_age", "age", "region", "food", "groups")
@@ -269,7 +271,7 @@ def _candidate_keys(products: DataFrame, districts: Sequence[str]) -> DataFrame:
 def match_list(products: DataFrame, profiles: DataFrame, as_of: str, districts: Sequence[str], salt: int = SALT) -> DataFrame:
     """Remaining (profile, open product) pairs with six verdicts and their group.
 
-    Pairs that mismatch are not listed (``match_counts`` counts them), so they need not be made:
+    Pairs that mismatch are not listed (``match_counts`` counts them without any pair), so they need not be made:
     products and profiles meet in an equi-join on district and stage keys, and each pair that
     can still match meets exactly once. A key many applicants share is split by a salt.
     """
@@ -300,34 +302,161 @@ def match_list(products: DataFrame, profiles: DataFrame, as_of: str, districts:
     return out.select("profile_id", "product_key", "tab", "position", "application_state", *[F.col(f"_v.{n}").alias(f"v_{n}") for n in CONDITIONS], "group")
 
 
-def match_counts(matches: DataFrame, products: DataFrame, profiles: DataFrame) -> DataFrame:
+# ---------------------------------------------------------------- counts and first pages on classes
+
+#: What a verdict leaves of a pair: the group of an open pair is that of its highest level.
+LEVELS = len(GROUPS) - 1
+FACTORS = ("opening", "person", "place")
+
+
+def level(v: Column) -> Column:
+    return F.when(v == MATCH, 0).when(v == "CHECK:NOT_MENTIONED", 1).when(v == MISMATCH, LEVELS - 1).otherwise(2)
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Applicants and open notices as classes of what their verdicts hang on.
+
+    A verdict looks at some readings of the notice and some inputs of the applicant. Three factors
+    cover all six: opening (stage, business age), person (age, groups) and place (region, title mark,
+    food). ``notices`` has a key for each factor (n_opening, ...), ``profiles`` likewise (p_opening,
+    ...); ``notice_classes`` and ``profile_classes`` count their distinct keys. ``tables`` tells for
+    every key of a notice and of an applicant the level they reach together, once for each two distinct
+    keys, without mismatches. A pair's group is that of the highest of its three levels, so counts and
+    first pages come from joins of keys alone and pairs are never made.
+    """
+
+    notices: DataFrame
+    profiles: DataFrame
+    notice_classes: DataFrame
+    profile_classes: DataFrame
+    tables: dict[str, DataFrame]
+
+
+def classes(products: DataFrame, profiles: DataFrame, as_of: str) -> Classes:
+    day = F.lit(as_of).cast("date")
+    p = F.col("profile")
+    inputs = {"opening": F.struct(p["status"].alias("status"), p["opened"].alias("opened")),
+              "person": F.struct(p["age"].alias("age"), F.sort_array(p["groups"]).alias("groups")),
+              "place": F.struct(p["district"].alias("district"))}
+
+    def kept(name: str) -> Column:
+        """A reading as far as it matters: its values if it was read, else whether it was mentioned."""
+        r = F.col(name)
+        return F.when(r["status"] == "READ", F.to_json(r)).otherwise(F.when(r["status"] == "NOT_MENTIONED", "N").otherwise("C"))
+
+    mark = F.when(F.col("region.status") != "READ", F.col("mark"))
+    keys = {"opening": F.array(kept("stage"), kept("business_age")), "person": F.array(kept("age"), kept("groups")),
+            "place": F.array(kept("region"), F.coalesce(mark, F.lit("")), kept("food"))}
+    read = {"opening": ("stage", "business_age"), "person": ("age", "groups"), "place": ("region", "mark", "food")}
+
+    def verdicts(factor: str) -> list[Column]:
+        if factor == "opening":
+            return [stage_verdict(F.col("stage"), p), business_age_verdict(F.col("business_age"), p, day)]
+        if factor == "person":
+            return [age_verdict(F.col("age"), p), groups_verdict(F.col("groups"), p, F.col("age"))]
+        return [apply_title_mark(region_verdict(F.col("region"), p), F.col("region.status"), F.col("mark")), food_verdict(F.col("food"))]
+
+    open_ = products.where(F.col("closed_by").isNull())
+    # Keys are digests of 128 bits: short in every shuffle, the same in every run.
+    digest = lambda c: F.unhex(F.md5(F.to_json(c)))
+    notices = open_.select("*", *[digest(keys[f]).alias(f"n_{f}") for f in FACTORS])
+    people = profiles.select("*", *[digest(inputs[f]).alias(f"p_{f}") for f in FACTORS])
+    columns = [c for f in FACTORS for c in read[f]]
+    notice_classes = cut(notices.groupBy("tab", "application_state", *[f"n_{f}" for f in FACTORS]).agg(F.count("*").alias("value"), *[F.any_value(c).alias(c) for c in columns]))
+    profile_classes = cut(people.groupBy(*[f"p_{f}" for f in FACTORS]).agg(F.count("*").alias("value"), F.any_value("profile").alias("profile")))
+    tables = {}
+    for f in FACTORS:
+        left = notice_classes.groupBy(f"n_{f}").agg(*[F.any_value(c).alias(c) for c in read[f]])
+        right = profile_classes.groupBy(f"p_{f}").agg(F.any_value("profile").alias("profile"))
+        # Distinct keys of both sides; those of applicants are few, as their inputs are (months, ages, districts, groups).
+        both = left.crossJoin(right).select(f"n_{f}", f"p_{f}", F.greatest(*[level(v) for v in verdicts(f)]).alias(f"l_{f}"))
+        tables[f] = both.where(F.col(f"l_{f}") < LEVELS - 1)
+    return Classes(notices, people, notice_classes, profile_classes, tables)
+
+
+def _contract(weights: DataFrame, partners: DataFrame, tables: dict[str, DataFrame], own: str, other: str, merge: Column) -> DataFrame:
+    """Exchange the keys of one side (``own`` n or p) for those of the other, factor by factor.
+
+    ``weights``: the three keys, further columns, ``level`` and ``value``. After each factor the rows
+    with equal keys are merged, so what is exchanged already is never carried twice; only keys that
+    occur together on the other side (``partners``) are made.
+    """
+    carry = [c for c in weights.columns if c not in ("level", "value") and not c.startswith(f"{own}_")]
+    rows, done = weights, []
+    for f in ("place", "opening", "person"):
+        new = [*done, f"{other}_{f}"]
+        # The factor's table with the partner keys already made and this one, as they occur together.
+        table = tables[f].join(partners.select(*new).distinct(), f"{other}_{f}")
+        rows = rows.join(table, [f"{own}_{f}", *done])
+        rest = [f"{own}_{x}" for x in FACTORS if f"{other}_{x}" not in new]
+        rows = rows.withColumn("level", F.greatest("level", f"l_{f}")).groupBy(*carry, *rest, *new, "level").agg(merge.alias("value"))
+        done = new
+    return rows
+
+
+def _by_level(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("level") == i, F.col("value"))), F.lit(0)).alias(g.lower()) for i, g in enumerate(GROUPS[:3])])
+
+
+def match_counts(products: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
     """Zero-filled group counts per profile and tab.
 
-    Pairs not listed are counted by difference: open products of the tab minus those listed.
+    Counts are sums of products over classes; pairs that mismatch are counted by difference.
     """
-    per = matches.groupBy("profile_id", "tab").agg(
-        *[F.count(F.when(F.col("group") == g, 1)).alias(g.lower()) for g in GROUPS[:3]])
+    c = classes(products, profiles, as_of)
+    weights = c.notice_classes.select("tab", *[f"n_{f}" for f in FACTORS], "value", F.lit(0).alias("level"))
+    keys = [f"p_{f}" for f in FACTORS]
+    per = _by_level(_contract(weights, c.profile_classes, c.tables, "n", "p", F.sum("value")), "tab", *keys)
     totals = products.groupBy("tab").agg(F.count(F.when(F.col("closed_by").isNull(), 1)).alias("_open"),
                                          F.count(F.when(F.col("closed_by").isNotNull(), 1)).alias("closed"))
-    tabs = {t: totals.where(F.col("tab") == t) for t in TABS}
-    grid = profiles.select("profile_id", F.explode(F.array(*[F.lit(t) for t in tabs])).alias("tab"))
-    j = grid.join(F.broadcast(totals), "tab", "left").join(per, ["profile_id", "tab"], "left")     # two rows of totals
+    grid = c.profiles.select("profile_id", *keys, F.explode(F.array(*[F.lit(t) for t in TABS])).alias("tab"))
+    j = grid.join(F.broadcast(totals), "tab", "left").join(per, ["tab", *keys], "left")     # two rows of totals
     shown = [F.coalesce(g.lower(), F.lit(0)) for g in GROUPS[:3]]
     return j.select("profile_id", "tab", *[s.alias(g.lower()) for s, g in zip(shown, GROUPS[:3])],
                     (F.coalesce("_open", F.lit(0)) - shown[0] - shown[1] - shown[2]).alias("not_matching"),
                     F.coalesce("closed", F.lit(0)).alias("closed"))
 
 
+def product_counts(products: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
+    """Zero-filled group counts per product over all profiles; the other way round from ``match_counts``."""
+    c = classes(products, profiles, as_of)
+    weights = c.profile_classes.select(*[f"p_{f}" for f in FACTORS], "value", F.lit(0).alias("level"))
+    keys = [f"n_{f}" for f in FACTORS]
+    per = _by_level(_contract(weights, c.notice_classes, c.tables, "p", "n", F.sum("value")), *keys)
+    listed = c.notices.select("product_key", *keys).join(per, keys, "left").drop(*keys)
+    total = profiles.agg(F.count(F.lit(1)).alias("_n"))
+    shut = products.where(F.col("closed_by").isNotNull()).select("product_key", *[F.lit(None).cast("long").alias(g.lower()) for g in GROUPS[:3]], F.lit(True).alias("_shut"))
+    j = listed.withColumn("_shut", F.lit(False)).unionByName(shut).crossJoin(F.broadcast(total))    # one row
+    shown = [F.coalesce(g.lower(), F.lit(0)) for g in GROUPS[:3]]
+    return j.select("product_key", *[s.alias(g.lower()) for s, g in zip(shown, GROUPS[:3])],
+                    F.when(F.col("_shut"), 0).otherwise(F.col("_n") - shown[0] - shown[1] - shown[2]).alias("not_matching"),
+                    F.when(F.col("_shut"), F.col("_n")).otherwise(0).alias("closed"))
+
+
 def order_key(group: Column, state: Column) -> Column:
     pos = F.array_position(F.array(*[F.lit(g) for g in GROUPS]), group) - 1
     return (pos * 2 + F.when(state == "OPEN_CONFIRMED", 0).otherwise(1)).cast("int")
 
 
-def first_page(matches: DataFrame, n: int = 50) -> DataFrame:
-    """First ``n`` notices per profile and tab in display order; the catalog's order breaks ties."""
-    m = matches.withColumn("order_key", order_key(F.col("group"), F.col("application_state")))
-    w = Window.partitionBy("profile_id", "tab").orderBy("order_key", "position")
-    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def first_page(products: DataFrame, profiles: DataFrame, as_of: str, n: int = 50) -> DataFrame:
+    """First ``n`` notices per profile and tab in display order; the catalog's order breaks ties.
+
+    Each class of notices gives its first ``n``, and lists are merged class by class to ``n`` again.
+    """
+    c = classes(products, profiles, as_of)
+    own = ["tab", "application_state", *[f"n_{f}" for f in FACTORS]]
+    item = F.struct("position", "product_key")
+    heads = c.notices.withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy("position", "product_key"))).where(F.col("_r") <= n)
+    weights = heads.groupBy(*own).agg(F.sort_array(F.collect_list(item)).alias("value")).withColumn("level", F.lit(0))
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("value"))), 1, n)
+    keys = [f"p_{f}" for f in FACTORS]
+    lists = _contract(weights, c.profile_classes, c.tables, "n", "p", merged)
+    group = F.get(F.array(*[F.lit(g) for g in GROUPS[:3]]), F.col("level"))
+    items = lists.select("tab", *keys, group.alias("group"), "application_state", F.inline("value")).withColumn("order_key", order_key(F.col("group"), F.col("application_state")))
+    w = Window.partitionBy("tab", *keys).orderBy("order_key", "position", "product_key")
+    page = items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return c.profiles.select("profile_id", *keys).join(page, keys).drop(*keys)
 
 
 # ---------------------------------------------------------------- profiles

@@ -293,28 +293,19 @@ def match_pairs(t):
  count(*) FILTER (closed_by IS NULL AND grp = 'NEEDS_CHECK') AS needs_check, count(*) FILTER (closed_by IS NULL AND grp = 'NOT_MATCHING') AS not_matching, count(closed_by) AS closed
 FROM f_profile p CROSS JOIN (VALUES ('POLICY_FUND'), ('SUPPORT_PROGRAM')) t(tab) LEFT JOIN f_pairs x ON x.sk = p.sk AND x.tab = t.tab GROUP BY 1, 2""")
 def match_counts(t):
-    products, profiles = f_notice(t), f_profile(t)
-    return M.match_counts(M.match_list(products, profiles, AS_OF, CITY), products, profiles)
+    return M.match_counts(f_notice(t), f_profile(t), AS_OF)
 
 
 @query("match_groups_final", ["f_pairs"], """SELECT product_key, count(*) FILTER (closed_by IS NULL AND grp = 'MATCHING') AS matching, count(*) FILTER (closed_by IS NULL AND grp = 'NOT_MENTIONED_ONLY') AS not_mentioned_only,
  count(*) FILTER (closed_by IS NULL AND grp = 'NEEDS_CHECK') AS needs_check, count(*) FILTER (closed_by IS NULL AND grp = 'NOT_MATCHING') AS not_matching, count(closed_by) AS closed FROM f_pairs GROUP BY 1""")
 def match_groups_final(t):
-    products, profiles = f_notice(t), f_profile(t)
-    per = M.match_list(products, profiles, AS_OF, CITY).groupBy("product_key").agg(
-        *[F.count(F.when(F.col("group") == g, 1)).alias(g.lower()) for g in M.GROUPS[:3]])
-    total = profiles.agg(F.count(F.lit(1)).alias("_n"))
-    j = products.select("product_key", "closed_by").join(per, "product_key", "left").crossJoin(F.broadcast(total)).na.fill(0)    # one row
-    listed = F.col("matching") + F.col("not_mentioned_only") + F.col("needs_check")
-    shut = F.col("closed_by").isNotNull()
-    return j.select("product_key", "matching", "not_mentioned_only", "needs_check", F.when(shut, 0).otherwise(F.col("_n") - listed).alias("not_matching"),
-                    F.when(shut, F.col("_n")).otherwise(0).alias("closed"))
+    return M.product_counts(f_notice(t), f_profile(t), AS_OF)
 
 
 @query("match_order", ["f_pairs"], """SELECT * FROM (SELECT sk AS profile_id, tab, product_key, order_key, CAST(row_number() OVER (PARTITION BY sk, tab ORDER BY order_key, k) AS INTEGER) AS rank FROM (
  SELECT *, CAST((list_position(['MATCHING', 'NOT_MENTIONED_ONLY', 'NEEDS_CHECK'], grp) - 1) * 2 + CASE WHEN unconfirmed = '' THEN 0 ELSE 1 END AS INTEGER) AS order_key FROM f_pairs WHERE closed_by IS NULL AND grp <> 'NOT_MATCHING')) WHERE rank <= 10""")
 def match_order(t):
-    return M.first_page(pairs(t), 10).select("profile_id", "tab", "product_key", "order_key", "rank")
+    return M.first_page(f_notice(t), f_profile(t), AS_OF, 10).select("profile_id", "tab", "product_key", "order_key", "rank")
 
 
 @query("readings", ["f_product", "f_evid"], f"""

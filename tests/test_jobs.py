@@ -93,6 +93,43 @@ def test_match_list_is_the_whole_product_without_mismatches(spark):
     assert got == {(r.profile_id, r.product_key, r.group) for r in every.collect()} and got
 
 
+def test_counts_and_pages_on_classes_are_those_of_all_pairs(spark):
+    from collections import Counter
+
+    from placemetrics.plans import matching_queries as MQ
+    from placemetrics.plans.proxies import Tables
+
+    t = Tables(spark, SF)
+    products, profiles = MQ.f_notice(t), MQ.f_profile(t)
+    # A third of the applicants are one and the same person, and one notice stands many times.
+    same = profiles.where("profile_id = 2")
+    profiles = profiles.unionByName(same.crossJoin(spark.range(5)).select((F.col("id") + 1000).alias("profile_id"), "profile"))
+    copies = products.where("closed_by IS NULL").orderBy("position").limit(1).crossJoin(spark.range(30))
+    products = products.unionByName(copies.withColumns({"product_key": F.concat(F.lit("c-"), "id"), "position": F.col("id") + 5000}).drop("id"))
+    listed = M.match_list(products, profiles, MQ.AS_OF, MQ.CITY).select("profile_id", "product_key", "tab", "position", "application_state", "group").collect()
+
+    per = Counter((r.profile_id, r.tab, r.group) for r in listed)
+    counts = M.match_counts(products, profiles, MQ.AS_OF).collect()
+    assert len(counts) == 2 * profiles.count()
+    for r in counts:
+        assert (r.matching, r.not_mentioned_only, r.needs_check) == tuple(per[r.profile_id, r.tab, g] for g in M.GROUPS[:3])
+    per = Counter((r.product_key, r.group) for r in listed)
+    shut = {r.product_key for r in products.where("closed_by IS NOT NULL").collect()}
+    for r in M.product_counts(products, profiles, MQ.AS_OF).collect():
+        want = tuple(per[r.product_key, g] for g in M.GROUPS[:3])
+        assert (r.matching, r.not_mentioned_only, r.needs_check) == want
+        assert (r.not_matching, r.closed) == ((0, profiles.count()) if r.product_key in shut else (profiles.count() - sum(want), 0))
+    pages = {}
+    for r in listed:
+        key = 2 * M.GROUPS.index(r.group) + (r.application_state != "OPEN_CONFIRMED")
+        pages.setdefault((r.profile_id, r.tab), []).append((key, r.position, r.product_key))
+    got = {}
+    for r in M.first_page(products, profiles, MQ.AS_OF, 7).collect():
+        got.setdefault((r.profile_id, r.tab), []).append((r.order_key, r.position, r.product_key, r["rank"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(*x, i + 1) for i, x in enumerate(sorted(v)[:7])] for k, v in pages.items()}
+    assert M.match_counts(products.limit(0), profiles.limit(0), MQ.AS_OF).count() == 0
+
+
 def test_month_end_and_group_rules(spark):
     day = F.lit("2024-06-30").cast("date")
     r = F.struct(F.lit("READ").alias("status"), F.lit(None).cast("double").alias("min"), F.lit(1.0).alias("max"), F.lit(False).alias("excl"))
