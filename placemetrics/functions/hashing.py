@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,26 @@ def _limb_sums(limbs: int = 8) -> list[Column]:
     return out
 
 
+def _row_sums(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The eight sums ``_s0`` ... of word hashes, and row_count."""
+    counted = (df.select(*by, row_hash(cols).alias("_r"))
+                 .groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_c")))
+    mixed = counted.select(*by, F.sha2(F.concat_ws("x", "_r", F.col("_c").cast("string")), 256).alias("_h"),
+                           F.lit(1).alias("_n"), "_c")
+    return mixed.groupBy(*by).agg(*_limb_sums(), F.sum("_c").alias("row_count"))
+
+
+def multiset_sums(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """row_count and the sums behind ``multiset_fingerprint``; those of tables without a common row add up."""
+    sums = [F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("decimal(38,0)") for i in range(8)]
+    return _row_sums(df, cols, by).select(*by, F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"), F.array(*sums).alias("sums"))
+
+
+def fingerprint_of(sums: Sequence[int], row_count: int) -> str:
+    """The fingerprint that ``multiset_fingerprint`` gives to a table with these sums."""
+    return hashlib.sha256("/".join(map(str, [*sums, row_count])).encode()).hexdigest()
+
+
 def multiset_fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Fingerprint that is equal exactly for equal multisets of rows, in any order.
 
@@ -37,11 +58,7 @@ def multiset_fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] =
     and the eight 32-bit words of those hashes are *summed*. Sums combine on the map side:
     no global sort, no collected list, no group that has to fit in one task.
     """
-    counted = (df.select(*by, row_hash(cols).alias("_r"))
-                 .groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_c")))
-    mixed = counted.select(*by, F.sha2(F.concat_ws("x", "_r", F.col("_c").cast("string")), 256).alias("_h"),
-                           F.lit(1).alias("_n"), "_c")
-    agg = mixed.groupBy(*by).agg(*_limb_sums(), F.sum("_c").alias("row_count"))
+    agg = _row_sums(df, cols, by)
     text = F.concat_ws("/", *[F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(8)],
                        F.coalesce(F.col("row_count"), F.lit(0)).cast("string"))
     return agg.select(*by, F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),

@@ -124,7 +124,9 @@ def src_header_map(t):
 
 # ---------------------------------------------------------------- releases
 
-@query("release_publish")
+@query("release_publish", ["f_panel"], """SELECT release_key, status, CAST(row_count AS BIGINT) AS row_count, reason, (SELECT count(*) FROM f_panel) AS active_rows FROM (
+ SELECT 'k1' AS release_key, 'SUPERSEDED' AS status, count(*) FILTER (quarter_idx < 8000) AS row_count, CAST(NULL AS VARCHAR) AS reason FROM f_panel
+ UNION ALL SELECT 'k2', 'ACTIVE', count(*), NULL FROM f_panel UNION ALL SELECT 'k3', 'FAILED', NULL, 'no sales at all')""")
 def release_publish(t):
     """Two panel releases, a repeat of the second and one that fails its check; the table of releases after it."""
     store = R.Store(t.spark, _new_dir(t, "store"), "panel")

@@ -12,7 +12,6 @@ from placemetrics.functions.hashing import multiset_fingerprint
 from placemetrics.sources.release import Store
 
 FRESH_DAYS = 3
-INCREMENT = "increment_key"
 
 
 def content_key(df: DataFrame, prefix: str = "r") -> str:
@@ -24,23 +23,15 @@ def content_key(df: DataFrame, prefix: str = "r") -> str:
 def stream_panel(landing: DataFrame, store: Store, checkpoint: str, validate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Publish, for every micro-batch of landed rows, a release of all rows landed so far.
 
-    A row of a release names its increment in ``INCREMENT``. A batch that is replayed, or files landed
-    twice, are an increment that the ACTIVE release already holds, and are dropped; so the sink is
-    effectively once. The release's key is that of its whole content.
+    Each batch is written as one part; the rows before it are neither read nor written again. A row
+    names its increment, the content key of its batch. A batch that is replayed, or files landed
+    twice, are an increment that was appended before, and are dropped; so the sink is effectively once.
     """
     def publish(batch: DataFrame, _: int) -> None:
         rows = validate(batch).persist()
         try:
-            if rows.isEmpty():
-                return
-            increment = content_key(rows, "i")
-            whole = rows.withColumn(INCREMENT, F.lit(increment))
-            if store.has_active():
-                before = store.read_active()
-                if not before.where(F.col(INCREMENT) == increment).isEmpty():
-                    return
-                whole = before.unionByName(whole)
-            store.publish(whole, content_key(whole))
+            if not rows.isEmpty():
+                store.append(rows, content_key(rows, "i"))
         finally:
             rows.unpersist()
 

@@ -34,6 +34,67 @@ def test_release_life(spark, tmp_path):
     assert store.status("c") == "FAILED" and store.status("a") == "ACTIVE"
 
 
+def test_several_writers_end_with_one_active(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from placemetrics.sources import files
+
+    rows = spark.range(20)
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda _: files.create_once(spark, f"{tmp_path}/once/file.json", "x"), range(8)))
+        assert sorted(made) == [False] * 7 + [True]
+        keys = ["a", "b", "c", "c"]
+        outcomes = list(pool.map(lambda k: Store(spark, str(tmp_path), "panel").publish(rows.where(f"id < {5 + ord(k) % 7}"), k), keys))
+    store = Store(spark, str(tmp_path), "panel")
+    status = {r.release_key: r.status for r in store.releases().collect()}
+    assert sorted(status) == ["a", "b", "c"] and list(status.values()).count("ACTIVE") == 1
+    assert set(outcomes) <= {"PUBLISHED", "ALREADY_ACTIVE"}
+    seqs = [r.seq for r in store.events().collect()]
+    assert sorted(seqs) == list(range(len(seqs)))
+    active = next(k for k, v in status.items() if v == "ACTIVE")
+    assert store.read_active().count() == 5 + ord(active) % 7
+
+
+def test_failed_reload_leaves_the_old_data(spark, tmp_path):
+    store = Store(spark, str(tmp_path), "panel")
+    store.publish(spark.range(10), "a")
+    old = store.releases().where("release_key = 'a'").first()["parts"][0]["path"]
+    store.publish(spark.range(3), "b")
+    with pytest.raises(PublishFailed):
+        store.publish(spark.range(7), "a", verify=lambda d: ["bad"])
+    assert spark.read.parquet(old).count() == 10 and store.read_active().count() == 3
+    assert store.publish(spark.range(7), "a") == "PUBLISHED"
+    assert spark.read.parquet(old).count() == 10 and store.read_active().count() == 7
+
+
+def test_increments_write_only_themselves(spark, tmp_path):
+    from placemetrics.functions.hashing import multiset_fingerprint
+    from placemetrics.sources.release import INCREMENT
+
+    store = Store(spark, str(tmp_path), "panel")
+    for k in range(6):
+        assert store.append(spark.range(100 * k, 100 * k + 100), f"i{k}") == "APPENDED"
+        assert store.append(spark.range(100 * k, 100 * k + 100), f"i{k}") == "ALREADY_HELD"
+    release = store.releases().where("status = 'ACTIVE'").first()
+    assert [spark.read.parquet(p["path"]).count() for p in release["parts"]] == [100] * 6
+    written = sum(len(list(d.glob("*/*.parquet"))) > 0 for d in (tmp_path / "panel" / "data").iterdir())
+    assert written == 6 and release["row_count"] == 600
+
+    whole = store.read_active()
+    assert release["release_key"] == "r-" + multiset_fingerprint(whole, sorted(whole.columns)).first()["fingerprint"]
+    assert not store.compact(most=6) and store.compact(most=3)
+    small = store.releases().where("status = 'ACTIVE'").first()
+    assert small["release_key"] == release["release_key"] and len(small["parts"]) == 1
+    assert sorted(r.id for r in store.read_active().collect()) == list(range(600))
+    assert store.append(spark.range(1), "i3") == "ALREADY_HELD" and store.append(spark.range(600, 610), "late") == "APPENDED"
+    assert store.read_active().where(F.col(INCREMENT) == "late").count() == 10
+    # Two writers append at once: both increments are held.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: Store(spark, str(tmp_path), "panel").append(spark.range(k, k + 5), f"t{k}"), (1000, 2000, 3000)))
+    assert store.read_active().count() == 625
+
+
 def test_header_set():
     s = TableSchema({"코드": "code", "이름": "name"})
     check_header(["이름", "코드"], s)
