@@ -1,9 +1,11 @@
 """Running totals over sorted values without a one-task sort.
 
 ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here the rows
-are first reduced to distinct (group, value) pairs with counts, cut into value ranges, and
-the running total becomes *total of the ranges before* + *running total inside the range*.
-A group that holds a third of all rows is then spread over about a third of the ranges.
+are first reduced to distinct (group, value) pairs with counts. Where a group has more of them than
+one task should sort, they are cut into value ranges, and a range that still has too many is cut
+again, so the number of ranges grows with the table. The running total becomes *total of the ranges
+before* + *running total inside the range*. A group that holds a third of all rows is then spread
+over about a third of the ranges.
 """
 
 from __future__ import annotations
@@ -15,60 +17,58 @@ from pyspark.sql import functions as F
 
 from placemetrics.session import cut
 
-DEFAULT_RANGES = 64
+#: Rows of one group that one task may sort.
+TARGET = 500_000
+#: Parts a range is cut into, and about how many of its values decide where.
+FAN, SAMPLE = 64, 4096
+#: Cuts of one range: their numbers fill a long.
+LEVELS = 10
 
 
-def _range_tree(value: Column, bounds: Sequence, lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value <= F.lit(bounds[mid]), _range_tree(value, bounds, lo, mid)).otherwise(
-        _range_tree(value, bounds, mid + 1, hi))
+def _split_points(rows: DataFrame, over: DataFrame, value: str, salt: int) -> DataFrame:
+    """_range, _bounds: values that cut each of the given ranges into about equal parts.
 
-
-def range_bounds(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES) -> list[float]:
-    """Split points of about equal row counts; a bounded number of doubles reaches the driver."""
-    probs = [i / ranges for i in range(1, ranges)]
-    row = df.select(F.percentile_approx(F.col(value).cast("double"), probs, 10_000)).first()
-    return sorted(set(row[0] or []))
-
-
-def text_bounds(df: DataFrame, value: str, ranges: int = DEFAULT_RANGES, sample: int = 4096) -> list[str]:
-    """Split points of a text column out of about ``sample`` keys picked by hash.
-
-    Only the split points depend on the sample; every row is ranked.
+    Only where to cut depends on the sample; every row is ranked.
     """
-    n = df.count()
-    step = max(1, n // sample)
-    picked = df.where(F.pmod(F.xxhash64(value), F.lit(step)) == 0).select(value).distinct().orderBy(value).limit(4 * sample)
-    keys = [r[0] for r in picked.collect() if r[0] is not None]
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-
+    step = F.greatest(F.lit(1), F.floor(F.col("_rows") / SAMPLE))
+    picked = rows.join(over, "_range").where(F.pmod(F.xxhash64(value, F.lit(salt)), step) == 0)
+    sample = picked.groupBy("_range").agg(F.sort_array(F.collect_set(value)).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / FAN).cast("int")))
+    return sample.select("_range", F.array_distinct(at).alias("_bounds"))
 
-def range_of(value: Column, bounds: Sequence) -> Column:
-    """Number of the range a value falls in: a balanced tree of comparisons, compiled by Spark."""
-    if not bounds:
-        return F.lit(0)
-    v = value if isinstance(bounds[0], str) else value.cast("double")
-    return _range_tree(v, bounds, 0, len(bounds))
 
+def into_ranges(df: DataFrame, by: Sequence[str], value: str, target: int = TARGET) -> DataFrame:
+    """Add ``_range``, which rises with the value, so that no group has more than ``target`` rows in a range.
 
-def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[str],
-                   ranges: int = DEFAULT_RANGES, bounds: Sequence | None = None) -> DataFrame:
+    ``df`` has one row per (by, value). A range is cut as long as a group has too many rows in it;
+    how many ranges there are follows from the rows.
+    """
+    df = cut(df)        # read for the counts and split points of every level, and for the ranges
+    rows = df.withColumn("_range", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        sizes = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        over = cut(sizes.groupBy("_range").agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most")).where(F.col("_most") > target).select("_range", "_rows"))
+        if over.isEmpty():
+            break
+        bounds = cut(_split_points(rows, over, value, level))
+        part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
+        rows = rows.join(bounds, "_range", "left").withColumn("_range", F.col("_range") * FAN + F.when(F.col("_bounds").isNotNull(), part).otherwise(0)).drop("_bounds")
+    return rows
+
+
+def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[str], target: int | None = TARGET) -> DataFrame:
     """Add ``cum_<m>`` (up to and including the value) and ``total_<m>`` per group.
 
-    ``df`` has one row per (by, value); measures are additive.
+    ``df`` has one row per (by, value); measures are additive. ``target`` None: a group is known to
+    have few values and is sorted as one.
     """
     by = list(by)
-    if bounds is None:
-        df = cut(df)        # read for the split points, the range totals and the ranges
-        bounds = range_bounds(df, value, ranges)
-    if not bounds:          # few distinct values: one range holds them all
+    if target is None:
         upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         everything = Window.partitionBy(*by)
         return df.select("*", *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures],
                          *[F.sum(m).over(everything).alias(f"total_{m}") for m in measures])
-    ranged = df.withColumn("_range", range_of(F.col(value), bounds))
+    ranged = into_ranges(df, by, value, target)
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_r_{m}") for m in measures])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -90,12 +90,12 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
-                    positions: dict[str, Column], ranges: int = DEFAULT_RANGES) -> DataFrame:
+                    positions: dict[str, Column], target: int = TARGET) -> DataFrame:
     """Values at given 1-based positions of each sorted group, one column per name.
 
     A position is a Column over ``total_n``, the group size.
     """
-    cum = running_totals(value_counts(df, by, value), by, value, ["n"], ranges)
+    cum = running_totals(value_counts(df, by, value), by, value, ["n"], target)
     first = F.col("cum_n") - F.col("n")
     picks = [F.max(F.when((first < p) & (F.col("cum_n") >= p), F.col(value))).alias(name)
              for name, p in positions.items()]
@@ -124,14 +124,14 @@ def competition_rank(df: DataFrame, by: Sequence[str], score: str, keep: str = "
     """
     df = cut(df)        # read for the counts and joined back to the ranks
     counts = value_counts(df, by, score)
-    cum = running_totals(counts, by, score, ["n"], bounds=[])
+    cum = running_totals(counts, by, score, ["n"], target=None)
     ranks = cum.select(*by, score, (F.col("total_n") - F.col("cum_n") + 1).alias(keep),
                        F.col("total_n").alias("total"))
     return df.join(ranks, [*by, score], "left")
 
 
-def positions(df: DataFrame, key: str, out: str = "position") -> DataFrame:
+def positions(df: DataFrame, key: str, out: str = "position", target: int = TARGET) -> DataFrame:
     """0-based position of every row in the order of a unique text key, without one global sort task."""
     one = df.select(key, F.lit(1).alias("_one"))
-    cum = running_totals(one.select(F.lit(0).alias("_g"), key, "_one"), ["_g"], key, ["_one"], bounds=text_bounds(df, key))
+    cum = running_totals(one.select(F.lit(0).alias("_g"), key, "_one"), ["_g"], key, ["_one"], target)
     return df.join(cum.select(key, (F.col("cum__one") - 1).alias(out)), key)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placemetrics.functions.money import half_up_div, int_div, wide
-from placemetrics.functions.ranks import competition_rank, exact_median, nearest_rank, running_totals
+from placemetrics.functions.ranks import TARGET, competition_rank, exact_median, nearest_rank, running_totals
 from placemetrics.operators.panel import SERIES
 from placemetrics.session import cut
 
@@ -359,18 +359,18 @@ def is_monotonic(outcomes: DataFrame, min_count: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- evaluation
 
-def served_industries(test: DataFrame, min_auc: float = MIN_TEST_AUC, bounds: Sequence[float] | None = None) -> DataFrame:
+def served_industries(test: DataFrame, min_auc: float = MIN_TEST_AUC, target: int | None = TARGET) -> DataFrame:
     """Industries whose score ranks survivors (label 0) well enough on the test rows to be shown at all."""
     ranked = test.select("industry_code", "score", (1 - F.col("label")).alias("survived"))
-    return auc(ranked, ["industry_code"], "score", "survived", bounds=bounds).where(F.col("auc") >= min_auc).select("industry_code")
+    return auc(ranked, ["industry_code"], "score", "survived", target).where(F.col("auc") >= min_auc).select("industry_code")
 
 
 
 def _class_totals(df: DataFrame, by: Sequence[str], score: str, label: str,
-                  bounds: Sequence[float] | None) -> DataFrame:
+                  target: int | None) -> DataFrame:
     pairs = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"),
                                        F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
-    return running_totals(pairs, by, score, ["pos", "neg"], bounds=bounds)
+    return running_totals(pairs, by, score, ["pos", "neg"], target)
 
 
 def _need_both(total_pos: Column, total_neg: Column, value: Column) -> Column:
@@ -378,9 +378,9 @@ def _need_both(total_pos: Column, total_neg: Column, value: Column) -> Column:
         F.raise_error(F.lit("both classes are needed")).cast("double"))
 
 
-def auc(df: DataFrame, by: Sequence[str], score: str, label: str, bounds: Sequence[float] | None = None) -> DataFrame:
+def auc(df: DataFrame, by: Sequence[str], score: str, label: str, target: int | None = TARGET) -> DataFrame:
     """Exact AUC; tied scores take their average rank. Ranks are kept doubled, so all sums are whole."""
-    c = _class_totals(df, by, score, label, bounds)
+    c = _class_totals(df, by, score, label, target)
     n, cum = F.col("pos") + F.col("neg"), F.col("cum_pos") + F.col("cum_neg")
     agg = c.groupBy(*by).agg(F.sum(wide(F.col("pos")) * (cum * 2 - n + 1)).alias("_r2"),
                              F.max("total_pos").alias("_p"), F.max("total_neg").alias("_n"))
@@ -390,9 +390,9 @@ def auc(df: DataFrame, by: Sequence[str], score: str, label: str, bounds: Sequen
                       F.col("_n").alias("negatives"))
 
 
-def ks(df: DataFrame, by: Sequence[str], score: str, label: str, bounds: Sequence[float] | None = None) -> DataFrame:
+def ks(df: DataFrame, by: Sequence[str], score: str, label: str, target: int | None = TARGET) -> DataFrame:
     """Largest distance of the two cumulative distributions over distinct scores."""
-    c = _class_totals(df, by, score, label, bounds)
+    c = _class_totals(df, by, score, label, target)
     gap = F.abs(F.col("cum_pos") / F.col("total_pos") - F.col("cum_neg") / F.col("total_neg"))
     return c.groupBy(*by).agg(F.max(_need_both(F.col("total_pos"), F.col("total_neg"), gap)).alias("ks"))
 

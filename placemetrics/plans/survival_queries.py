@@ -327,7 +327,7 @@ SELECT industry_code, round(max(abs(cp / p - cn / n)), 9) AS ks FROM (
   (count(*) FILTER (label = 1) OVER (PARTITION BY industry_code))::DOUBLE AS p, (count(*) FILTER (label = 0) OVER (PARTITION BY industry_code))::DOUBLE AS n
  FROM f_scored_test WINDOW w AS (PARTITION BY industry_code ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1""")
 def ks_exact(t):
-    return S.ks(scored_test(t), ["industry_code"], "score", "label", bounds=[]).withColumn("ks", F.round("ks", 9))
+    return S.ks(scored_test(t), ["industry_code"], "score", "label", target=None).withColumn("ks", F.round("ks", 9))
 
 
 _OUTCOME_SQL = """, o AS (SELECT i.industry_code, g.grade, g.ord AS grade_ord, count(s.score) AS row_count, avg(s.label) AS positive_rate,
@@ -362,7 +362,7 @@ SELECT industry_code, count(*) AS served_rows FROM f_scored WHERE quarter_idx =
   FROM f_scored_test) GROUP BY industry_code, p, n) WHERE auc >= 0.45) GROUP BY 1""")
 def served_gate(t):
     """Industries whose score ranks survivors (label 0) well enough; the proxy's threshold is 0.45."""
-    gate = S.served_industries(scored_test(t), min_auc=0.45, bounds=[])
+    gate = S.served_industries(scored_test(t), min_auc=0.45, target=None)
     return latest(scored(t)).join(gate, "industry_code", "left_semi").groupBy("industry_code").agg(
         F.count(F.lit(1)).alias("served_rows"))
 
@@ -398,7 +398,7 @@ def model_compare(t):
     out = None
     for name, feats in S.COMPARISON_MODELS.items():
         s = S.score_rows(test, FIT.model_table(fits, scaling, name, feats), feats)
-        one = (S.auc(s, ["industry_code"], "probability", "label").join(S.ks(s, ["industry_code"], "score", "label", bounds=[]), "industry_code")
+        one = (S.auc(s, ["industry_code"], "probability", "label").join(S.ks(s, ["industry_code"], "score", "label", target=None), "industry_code")
                 .select("industry_code", F.lit(name).alias("model"), F.lit(len(feats)).alias("features"), "auc", "ks"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -50,7 +50,6 @@ def test_running_totals_with_a_hot_group(spark):
     rnd = random.Random(7)
     rows = [("hot" if i % 3 == 0 else f"g{i % 40}", rnd.randint(0, 500), rnd.randint(1, 5)) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, v int, m int").groupBy("g", "v").agg(F.sum("m").alias("m"))
-    got = {(r.g, r.v): (r.cum_m, r.total_m) for r in RK.running_totals(df, ["g"], "v", ["m"], ranges=16).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         sums = {}
@@ -60,13 +59,27 @@ def test_running_totals_with_a_hot_group(spark):
         for v in sorted(sums):
             run += sums[v]
             want[g, v] = (run, total)
-    assert got == want
+    for target in (None, 1_000, 30, 1):
+        assert {(r.g, r.v): (r.cum_m, r.total_m) for r in RK.running_totals(df, ["g"], "v", ["m"], target).collect()} == want
+
+
+def test_no_range_is_over_the_target(spark):
+    # A third of the rows are one group, half of its values stand close together, and one value is in every group.
+    rows = [("hot", v) for v in range(3000)] + [("hot", 1e9 + v / 1e3) for v in range(3000)] + [(f"g{k}", 5.0) for k in range(5000)] + [(f"g{k}", 7e8 + k) for k in range(5000)]
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g string, v double")
+    for target in (500, 40):
+        ranged = RK.into_ranges(df, ["g"], "v", target)
+        assert ranged.groupBy("g", "_range").count().agg(F.max("count")).first()[0] <= target
+        spans = ranged.groupBy("_range").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_range").collect()
+        assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+    assert RK.into_ranges(df, ["g"], "v").select("_range").distinct().count() == 1
 
 
 def test_positions(spark):
     df = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     got = [r.k for r in RK.positions(df, "k").orderBy("position").collect()]
     assert got == sorted(got) and RK.positions(df, "k").agg(F.max("position")).first()[0] == 2999
+    assert RK.positions(df, "k", target=100).orderBy("position").select("k").collect() == RK.positions(df, "k").orderBy("position").select("k").collect()
 
 
 def test_windows_see_gaps(spark):
