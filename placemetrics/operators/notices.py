@@ -26,14 +26,17 @@ FOOD_EXCLUSION = "음식|외식|식당|요식|카페|커피|제과|베이커리"
 OFFICIAL_SUFFIXES = ("bizinfo.go.kr", "mss.go.kr", "k-startup.go.kr", "seoul.go.kr", "seoulcareerup.or.kr", "kinfa.or.kr",
                      "semas.or.kr", "sbiz.or.kr", "seoulshinbo.co.kr", "seoulcredit.co.kr", "sba.seoul.kr", "startup.go.kr")
 STRICT_PERIOD = r"^(\d{4}-\d{2}-\d{2})\s*~\s*(\d{4}-\d{2}-\d{2})$"
-SINGLE_DAY_TAIL = r"^\d{1,2}:\d{2}(?:\s*까지)?[\s,.)]*$"
-OPEN_ENDED = "소진|마감|상시|까지"
+OPEN_ENDED = ("소진", "마감", "상시", "까지")
+UNTIL = "까지"
+TILDES = "~∼～"
+PERIOD_LABELS = ("접수기간", "신청기간")
 CLOSED_WORDS = "마감|종료"
 LOAN_CATEGORY = "정책자금"
 OPEN_WORD = "접수중"
-# Dates are spelled year, month, day, each with its unit word or a dot or dash; the year may be short
-# behind an apostrophe or be missing. Amounts are counts of units, the largest first.
-YEAR_UNIT, MONTH_UNIT, DAY_UNIT = "년", "월", "일"
+# Dates are spelled year, month, day, with a unit word or a mark behind each; the year may be short behind
+# an apostrophe or be missing. Amounts are counts of units, the largest first.
+AFTER_YEAR, AFTER_MONTH, AFTER_DAY = ("년", ".", "-"), ("월", ".", "-"), ("일", ".")
+AFTER_SHORT_MONTH = ("월", ".")
 APOSTROPHES = "‘’'`"
 AMOUNT_UNITS = (("억", 100_000_000), ("천", 10_000_000), ("백", 1_000_000), ("만", 10_000))
 NOTICE_SUFFIX = r"(?:\((?:직접대출|대리대출|일반)\))*(?:직접대출|대리대출)?(?:접수|신청)안내"
@@ -41,22 +44,6 @@ NOTICE_SUFFIX = r"(?:\((?:직접대출|대리대출|일반)\))*(?:직접대출|
 
 # ---------------------------------------------------------------- periods and amounts
 
-def _after(unit: str, marks: str) -> str:
-    """A unit word or one of the marks, with blanks on both sides."""
-    return rf"\s*(?:{unit}|[{marks}])\s*"
-
-
-def _date_token() -> str:
-    """Groups: long year, short year, month, day; month, day of a date without a year."""
-    number = r"(\d{1,2})"
-    year = r"(?:(\d{4})" + rf"|[{APOSTROPHES}]" + r"(\d{2}))"
-    full = year + _after(YEAR_UNIT, ".-") + number + _after(MONTH_UNIT, ".-") + number + rf"(?!\d)\s*[{DAY_UNIT}.]?"
-    short = number + _after(MONTH_UNIT, ".") + number + rf"\s*[{DAY_UNIT}.]"
-    return f"{full}|{short}"
-
-
-DATE_TOKEN = _date_token()
-
 def real_date(text: Column) -> Column:
     """DATE of an ISO text that exists in the calendar, else null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
@@ -74,20 +61,78 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), real_date(text))
 
 
-def _date_parts(token: Column) -> Column:
-    """Year, month, day of a full token; short month and day of one without a year."""
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(token, DATE_TOKEN, i), F.lit("")).try_cast("int")
+def _any_of(text: Column, words: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def _pieces(text: Column) -> Column:
+    """``struct(numbers, gaps)``: the digit runs of a text and what stands before, between and after them."""
+    return F.struct(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)).alias("numbers"), F.split(text, r"\d+").alias("gaps"))
+
+
+def _dates(p: Column) -> Column:
+    """Dates in the pieces of a text, from left to right: array of struct(y, m, d, last number used), y null where none is written.
+
+    Three neighbouring numbers are a date if the gaps between them are the signs of year and month;
+    two are a month and a day if their gap is a month's and a day's sign follows.
+    """
+    def small(i: Column) -> Column:
+        return F.length(F.get(p["numbers"], i)) <= 2
+
+    def gap(i: Column) -> Column:
+        return F.trim(F.get(p["gaps"], i))
+
+    def number(i: Column) -> Column:
+        return F.get(p["numbers"], i).try_cast("int")
+
+    def at(i: Column) -> Column:
+        digits, before = F.length(F.get(p["numbers"], i)), F.get(p["gaps"], i)
+        behind = F.right(before, F.lit(1)).isin(*APOSTROPHES)
+        year = F.when(digits == 4, number(i)).when((digits == 2) & behind, number(i) + 2000)
+        full = year.isNotNull() & small(i + 1) & small(i + 2) & gap(i + 1).isin(*AFTER_YEAR) & gap(i + 2).isin(*AFTER_MONTH)
+        short = small(i) & small(i + 1) & gap(i + 1).isin(*AFTER_SHORT_MONTH) & F.left(F.ltrim(F.get(p["gaps"], i + 2)), F.lit(1)).isin(*AFTER_DAY)
+        none = F.lit(None).cast("int")
+        return (F.when(F.coalesce(full, F.lit(False)), F.struct(year.alias("y"), number(i + 1).alias("m"), number(i + 2).alias("d"), (i + 2).alias("last")))
+                 .when(F.coalesce(short, F.lit(False)), F.struct(none.alias("y"), number(i).alias("m"), number(i + 1).alias("d"), (i + 1).alias("last"))))
+
+    def take(found: Column, i: Column) -> Column:
+        """Numbers inside a date already found begin none."""
+        used = F.coalesce(F.try_element_at(found, F.lit(-1))["last"], F.lit(-1))
+        return F.when(i > used, F.array_compact(F.concat(found, F.array(at(i))))).otherwise(found)
+
+    # Without a number the sequence is the single place 0, where there is none either.
+    places = F.sequence(F.lit(0), F.greatest(F.size(p["numbers"]) - 1, F.lit(0)))
+    return F.aggregate(places, F.array().cast("array<struct<y:int,m:int,d:int,last:int>>"), take)
+
+
+def _after_tilde(p: Column, last: Column) -> Column:
+    """What stands behind the first tilde after a number, trimmed; null without one."""
+    rest = F.array_join(F.transform(F.sequence(last + 1, F.size(p["numbers"])), lambda k: F.concat(F.get(p["gaps"], k), F.coalesce(F.get(p["numbers"], k), F.lit("")))), "")
+    sides = F.split(rest, f"[{TILDES}]", 2)
+    return F.nullif(F.trim(F.get(sides, F.lit(1))), F.lit(""))
+
+
+def _is_time(text: Column) -> Column:
+    """One time of day, perhaps with the word for "until", and nothing else but marks."""
+    def told(p: Column) -> Column:
+        behind = F.ltrim(F.get(p["gaps"], F.lit(2)))
+        behind = F.when(behind.startswith(UNTIL), F.substring(behind, len(UNTIL) + 1, F.length(behind))).otherwise(behind)
+        hour, minute = (F.length(F.get(p["numbers"], F.lit(i))) for i in (0, 1))
+        return ((F.size(p["numbers"]) == 2) & (F.get(p["gaps"], F.lit(0)) == "") & (F.get(p["gaps"], F.lit(1)) == ":") & (hour <= 2) & (minute == 2)
+                & (F.translate(behind, " ,.)", "") == ""))
 
-    return F.struct(token.alias("raw"), F.coalesce(part(1), part(2) + 2000).alias("y"), part(3).alias("m"), part(4).alias("d"),
-                    part(5).alias("sm"), part(6).alias("sd"))
+    return let(_pieces(text), told)
 
 
 def parse_period(raw: Column) -> Column:
     """``struct(start, end, note)`` of a free period text with one or two dates, else null.
 
-    A second date without a year that falls before the first one is in the next year; one date
-    needs either a time range (a single day) or words for an open end.
+    The first date has to tell its year. A second one without a year that would fall before the first
+    is in the next year; a single one needs either a time range behind it (a single day) or words for
+    an open end, which become the note.
     """
     no_text, no_date = F.lit(None).cast("string"), F.lit(None).cast("date")
 
@@ -95,30 +140,24 @@ def parse_period(raw: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), note.alias("note"))
 
     def two_dates(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        short = _ymd(a["y"], b["sm"], b["sd"])
-        rolled = F.when(short < x["start"], _ymd(a["y"] + 1, b["sm"], b["sd"])).otherwise(short)
-        end = F.when(b["m"].isNotNull(), _ymd(b["y"], b["m"], b["d"])).otherwise(rolled)
-        return let(F.struct(x["start"].alias("start"), end.alias("end")),
-                    lambda y: F.when(y["end"] >= y["start"], period(y["start"], y["end"], no_text)))
+        this, following = (_ymd(x["a"]["y"] + k, x["b"]["m"], x["b"]["d"]) for k in (0, 1))
+        told = _ymd(x["b"]["y"], x["b"]["m"], x["b"]["d"])
+        end = F.when(x["b"]["y"].isNotNull(), told).when(this >= x["start"], this).when(this.isNotNull(), following)
+        return let(F.struct(x["start"].alias("start"), end.alias("end")), lambda y: F.when(y["end"] >= y["start"], period(y["start"], y["end"], no_text)))
 
     def one_date(x: Column) -> Column:
-        at = F.instr(x["text"], x["a"]["raw"]) + F.length(x["a"]["raw"])
-        rest = F.substring(x["text"], at, F.length(x["text"]))
-        tail = F.nullif(F.trim(F.regexp_extract(rest, r"^[^~∼～]*[~∼～](.*)$", 1)), F.lit(""))
-        return let(F.struct(x["start"].alias("start"), tail.alias("tail")), lambda y: F.when(
-            y["tail"].rlike(SINGLE_DAY_TAIL), period(y["start"], y["start"], no_text)).when(
-            ~y["tail"].rlike(r"\d") & y["tail"].rlike(OPEN_ENDED), period(y["start"], no_date, y["tail"])))
+        tail = _after_tilde(x["p"], x["a"]["last"])
+        return let(F.struct(x["start"].alias("start"), tail.alias("tail")), lambda y: F.when(_is_time(y["tail"]), period(y["start"], y["start"], no_text)).when(
+            ~y["tail"].rlike(r"\d") & _any_of(y["tail"], OPEN_ENDED), period(y["start"], no_date, y["tail"])))
 
     def decide(x: Column) -> Column:
-        first = F.get(x["parts"], F.lit(0))
-        bound = F.struct(x["text"].alias("text"), F.size(x["parts"]).alias("n"), first.alias("a"), F.get(x["parts"], F.lit(1)).alias("b"),
+        first = F.get(x["dates"], F.lit(0))
+        bound = F.struct(x["p"].alias("p"), F.size(x["dates"]).alias("n"), first.alias("a"), F.get(x["dates"], F.lit(1)).alias("b"),
                          _ymd(first["y"], first["m"], first["d"]).alias("start"))
         return let(bound, lambda y: F.when(y["start"].isNotNull() & (y["n"] == 2), two_dates(y)).when(
             y["start"].isNotNull() & (y["n"] == 1), one_date(y)))
 
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    return let(F.struct(text.alias("text"), F.transform(F.regexp_extract_all(text, F.lit(DATE_TOKEN), F.lit(0)), _date_parts).alias("parts")), decide)
+    return let(_pieces(F.trim(F.regexp_replace(raw, r"\s+", " "))), lambda p: let(F.struct(p.alias("p"), _dates(p).alias("dates")), decide))
 
 
 def parse_single_amount(raw: Column) -> Column:
@@ -274,7 +313,9 @@ def resolve_status(df: DataFrame, as_of: str) -> DataFrame:
     Columns: card_status (null without a card), card_period, notice_period (texts).
     """
     day = F.lit(as_of).cast("date")
-    label = F.trim(F.regexp_replace("card_period", r"^\s*(?:접수|신청)\s*기간\s*[:：]\s*", ""))
+    head = F.substring_index(F.translate("card_period", "：", ":"), ":", 1)
+    labelled = (F.length(head) < F.length("card_period")) & F.regexp_replace(head, r"\s", "").isin(*PERIOD_LABELS)
+    label = F.trim(F.when(labelled, F.substring(F.col("card_period"), F.length(head) + 2, F.length("card_period"))).otherwise(F.col("card_period")))
     d = df.withColumns({"_label": label, "_c": parse_period(label), "_n": parse_period(F.col("notice_period"))})
     c, n = F.col("_c"), F.col("_n")
     start0 = F.coalesce(c["start"], n["start"])

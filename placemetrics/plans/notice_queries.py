@@ -29,11 +29,11 @@ def query(name: str, needs=None, body: str | None = None):
 def period_text(fmt: Column, day: Column) -> Column:
     """Eight ways in which a notice writes its period; 4 to 7 cannot be read."""
     end = F.date_add(day, 30)
-    iso, short = (lambda d: F.date_format(d, "yyyy-MM-dd")), (lambda d: F.date_format(d, "yy. M. d."))
+    iso, words = (lambda d: F.date_format(d, "yyyy-MM-dd")), (lambda d: F.date_format(d, "M월 d일"))
     return (F.when(fmt == 0, F.concat(iso(day), F.lit(" ~ "), iso(end)))
-            .when(fmt == 1, F.concat(F.date_format(day, "yyyy. M. d."), F.lit("(화) 10:00 ~ 예산소진 시까지")))
-            .when(fmt == 2, F.concat(F.lit("‘"), short(day), F.lit("(화) ~ "), F.date_format(end, "M. d."), F.lit("(수), 10:00 ~ 18:00")))
-            .when(fmt == 3, F.concat(F.lit("'"), short(day), F.lit("(월), 10:00 ~ 18:00")))
+            .when(fmt == 1, F.concat(F.date_format(day, "yyyy. M. d."), F.lit(" (목) 09:30 ∼ 재원 소진 때까지")))
+            .when(fmt == 2, F.concat(F.lit("`"), F.date_format(day, "yy년 "), words(day), F.lit(" 09:30 ~ "), words(end), F.lit(" 17:30")))
+            .when(fmt == 3, F.concat(F.lit("'"), F.date_format(day, "yy-MM-dd"), F.lit(" (금) 9:00 ～ 16:30까지")))
             .when(fmt == 4, F.concat(F.date_format(day, "yyyy"), F.lit("-02-30 ~ "), F.date_format(day, "yyyy"), F.lit("-03-10")))
             .when(fmt == 5, F.lit("상시"))
             .when(fmt == 6, F.date_format(day, "yyyy년 M월 d일부터"))
@@ -63,7 +63,7 @@ def period_strict(t):
 
 
 @query("period_free", None, f"""SELECT doc_id, {s_start('doc_id % 8', _DAY)} AS start_day, {s_end('doc_id % 8', _DAY)} AS end_day,
- CASE WHEN doc_id % 8 = 1 THEN '예산소진 시까지' END AS note FROM documents""")
+ CASE WHEN doc_id % 8 = 1 THEN '재원 소진 때까지' END AS note FROM documents""")
 def period_free(t):
     k = F.col("doc_id")
     p = N.parse_period(period_text(k % 8, day_of(k)))

@@ -156,12 +156,17 @@ def test_texts(spark):
 
 
 def test_periods(spark):
-    texts = ["‘25. 12. 28.(월) ~ 1. 5.(화)", "2026-01-05 ~ 자금소진시까지", "2026-02-30 ~ 2026-03-01", "2026. 10. 6. 10:00", "상시", "2026-01-05 ~ 2026-01-01"]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    cases = [("‘25. 12. 28.(일) ~ 1. 5.(월)", "2025-12-28", "2026-01-05", None), ("2027-03-02 ~ 한도 소진 시", "2027-03-02", None, "한도 소진 시"),
+             ("2027년 3월 2일 ~ 2027년 4월 1일", "2027-03-02", "2027-04-01", None), ("`27년3월2일~4월1일", "2027-03-02", "2027-04-01", None),
+             ("2027. 3. 2 (화)  9:00 ∼ 12:00까지 ,", "2027-03-02", "2027-03-02", None), ("'27-03-02 ～ 18:00", "2027-03-02", "2027-03-02", None),
+             ("2027.3.2.~상시", "2027-03-02", None, "상시"), ("2028. 2. 1. ~ 2. 29.", "2028-02-01", "2028-02-29", None)]
+    none = ["2026-02-30 ~ 2026-03-01", "2026. 10. 6. 10:00", "상시", "", "2026-01-05 ~ 2026-01-01", "27-03-02 ~ 상시", "3. 2. ~ 4. 1.", "2027. 3. 2. ~ 7일간", "2027. 3. 2. ~ 10:00 ~ 12:00",
+            "2027. 2. 1. ~ 2. 29.", "2027-03-02 ~ 2027-03-05, 2027-04-01 ~ 2027-04-05", "2027-03-022 ~ 상시", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([c[0] for c in cases] + none)], "i int, t string")
     got = {r.i: r.p for r in df.select("i", N.parse_period(F.col("t")).alias("p")).collect()}
-    assert (str(got[0].start), str(got[0].end)) == ("2025-12-28", "2026-01-05")
-    assert got[1].end is None and got[1].note == "자금소진시까지"
-    assert [got[i] for i in (2, 3, 4, 5)] == [None] * 4
+    for i, (text, start, end, note) in enumerate(cases):
+        assert got[i] is not None and (str(got[i].start), got[i].end and str(got[i].end), got[i].note) == (start, end, note), text
+    assert [t for i, t in enumerate(none) if got[len(cases) + i] is not None] == []
 
 
 def test_amounts_and_titles(spark):
