@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemetrics.llm.components import components
@@ -82,17 +82,21 @@ def needed(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def profile(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, class (null without n-grams)."""
+    """doc_id, text_key (hash of the text, which tells rows of one id apart), n_shingles, class (null without n-grams)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for part in parts:
             sets = [(len(g), shingler.class_of(g) if len(g) else None) for g in shingler.sets(part["text"].fillna("").tolist())]
-            out = pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": [k for k, _ in sets]})
+            out = pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "n_shingles": [k for k, _ in sets]})
             yield out.assign(**{"class": pd.array([c for _, c in sets], dtype="Int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, class long")
+    return map_frames(docs.select("doc_id", "text", _text_key()), run, f"doc_id {kind}, text_key long, n_shingles long, class long")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
 def _packed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
@@ -382,6 +386,11 @@ def whole_groups(parts: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Da
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT, block_size: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    return _grouped(spark, docs, n, percent, block_size).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, block_size: int = BLOCK) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, group (the component among classes; null without n-grams) for every row."""
     found = cut(profile(docs, n))
     total = found.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PER_RANGE)
@@ -404,17 +413,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
     names = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     linked = names.join(joined, names["class"] == joined["node"])
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    renamed = linked.join(least, "component").select("class", "least")
-    final = names.join(renamed, "class", "left").select("class", F.coalesce("least", "first").alias("component_id"))
-    return found.join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    renamed = linked.join(least, "component").select("class", "component", "least")
+    final = names.join(renamed, "class", "left").select("class", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "class").alias("group"))
+    return found.join(final, "class", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id names their component, with all columns and one row for each id.
+    """The documents whose id names their component, with all columns: one row for each component.
 
-    Rows with a null id cannot be named as anyone's copy and stay.
+    Where one id stands on rows with different texts, each component keeps a row of its own text, the
+    one with the least hash of those of the naming id. Texts without words are alike with nothing and
+    stay, once for each id. Rows with a null id cannot be named as anyone's copy and stay.
     """
-    found = jaccard_components(spark, docs.where("doc_id IS NOT NULL"), n, percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = _grouped(spark, docs.where("doc_id IS NOT NULL"), n, percent).where("doc_id = component_id")
+    keep = found.groupBy("group", "doc_id", F.when(F.col("group").isNull(), F.col("text_key")).alias("wordless")).agg(F.min("text_key").alias("text_key"))
+    keyed = docs.withColumn("_key", _text_key())
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept"))
+    kept = keyed.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_key"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

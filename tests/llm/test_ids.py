@@ -60,3 +60,13 @@ def test_plain_words_are_those_of_the_library():
     for at in range(0, 4000, 50):
         text = " ".join(words[at:at + 50])
         assert enc.texts([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_one_id_on_different_texts(spark):
+    """The clean text of a repeated id stays; of its near copy of another id the first id's row stays."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, a), (7, b), (7, a), (9, b + " more"), (9, "c d e f g h"), (3, ""), (3, ""), (3, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(spark, docs).collect()), key=str)
+    assert [x for x in got if x[0] != 3] == sorted([(7, a), (7, b), (9, "c d e f g h"), (None, a)], key=str)
+    assert len([x for x in got if x[0] == 3]) == 1
