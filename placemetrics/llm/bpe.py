@@ -181,7 +181,7 @@ class WordEncoder:
         self.tokenizer = load(name)
         self.symbols: Symbols | None = None
         # The split of Latin words is that of the default vocabulary; others go to the library word by word.
-        self.pieces = PieceEncoder(name, limit) if name == VOCABULARY else None
+        self.pieces = PieceEncoder(name, limit // 2) if name == VOCABULARY else None
         self.memo, self.known = Memo(), Ids()
 
     def _long(self, word: str) -> list[int]:

@@ -185,12 +185,13 @@ def _survivors(part: pd.DataFrame, percent: int) -> pd.DataFrame:
 
     Rows with a `class` tell the sizes of the sets, the others hold n-grams.
     """
-    sized, part = part[part["class"].notna()].sort_values("class"), part[part["class"].isna()]
+    told, part = part[part["class"].notna()], part[part["class"].isna()]
+    sized = pd.DataFrame({"class": told["class"].astype(np.int64), "n": told["n"].astype(np.int64)}).sort_values("class")
     names, counts, keys = _numbers(part["classes"], "<i8"), _numbers(part["counts"], "<i4"), _numbers(part["keys"], "<u8")
     classes, owner = np.unique(names, return_inverse=True)
     owner = np.repeat(owner, counts)
     total = np.bincount(owner, minlength=len(classes))
-    n = sized["n"].to_numpy(np.int64)[np.searchsorted(sized["class"].to_numpy(np.int64), classes)]
+    n = sized["n"].to_numpy()[np.searchsorted(sized["class"].to_numpy(), classes)]
     good = total >= needed(n, percent)
     keep = good[owner]
     keys, owner = keys[keep], owner[keep]
@@ -401,14 +402,17 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, percent: int, block_s
         give_back()
         return out
 
-    def gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(parts, ["bucket"]):
-            yield _survivors(group, percent)
+    def gathered(part: pd.DataFrame) -> pd.DataFrame:
+        out = _survivors(part, percent)
+        give_back()
+        return out
 
     shared = packed.groupBy("range").applyInPandas(counted, "bucket int, classes binary, counts binary, keys binary")
-    sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n")).select(F.pmod("class", F.lit(ranges)).cast("int").alias("bucket"), "class", "n")
-    by_bucket = shared.unionByName(sizes, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
-    sets = cut(map_frames(by_bucket, gathered, "class long, n long, keys binary, rare array<long>"))
+    # As texts, since whole numbers next to nulls would reach pandas as doubles.
+    sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n")).select(
+        F.pmod("class", F.lit(ranges)).cast("int").alias("bucket"), F.col("class").cast("string").alias("class"), F.col("n").cast("string").alias("n"))
+    by_bucket = shared.unionByName(sizes, allowMissingColumns=True)
+    sets = cut(by_bucket.groupBy("bucket").applyInPandas(gathered, "class long, n long, keys binary, rare array<long>"))
     joined = components(_links(spark, sets, percent, block_size))
     names = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     linked = names.join(joined, names["class"] == joined["node"])

@@ -34,13 +34,15 @@ from placemetrics.session import cut
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_BUCKET = 5_000
+#: Words a task remembers here.
+MEMO = 220_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, limit=MEMO)
         for part in slices(parts):
             texts, names = [t or "" for t in part.column("text").to_pylist()], part.column("doc_id")
             for s in batches(texts):
