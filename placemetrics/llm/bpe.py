@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 
-from placemetrics.llm.words import LIMIT, Memo
+from placemetrics.llm.words import LIMIT, Memo, kept
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF_SYMBOLS = 2048
@@ -234,11 +234,6 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-_encoders: dict[tuple, WordEncoder] = {}
-
-
 def encoder(name: str = VOCABULARY, leaf: int = LEAF_SYMBOLS, limit: int = LIMIT) -> WordEncoder:
-    """One encoder for each worker process and vocabulary, kept from task to task."""
-    if (name, leaf, limit) not in _encoders:
-        _encoders[name, leaf, limit] = WordEncoder(name, limit, leaf)
-    return _encoders[name, leaf, limit]
+    """One encoder for each worker process and vocabulary, kept from task to task of the operators that encode."""
+    return kept(("encoder", name, leaf, limit), lambda: WordEncoder(name, limit, leaf))

@@ -92,7 +92,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
                 made = then([ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:], strict=False)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(s.start, s.stop - s.start), *made], names)
 
-    short = texts.where(F.length("text") <= leaf).mapInArrow(thrifty(whole), f"doc_id {kind}, {schema}")
+    short = texts.where(F.length("text") <= leaf).mapInArrow(thrifty(whole, keeps=True), f"doc_id {kind}, {schema}")
 
     def cut_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts, 1):
@@ -104,7 +104,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
 
     # Rows are told apart by content: equal rows share their leaves, each then standing once per copy.
     long = texts.where(F.length("text") > leaf).withColumn("row", F.xxhash64("doc_id", "text", F.lit("row")))
-    spread = long.mapInArrow(thrifty(cut_up), f"doc_id {kind}, text string, row long, size long, leaf int").repartition(F.xxhash64("row", "leaf"))
+    spread = long.mapInArrow(thrifty(cut_up, keeps=True), f"doc_id {kind}, text string, row long, size long, leaf int").repartition(F.xxhash64("row", "leaf"))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, limit=MEMO)
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p.ids.astype("<u4").tobytes() for p in got], pa.binary()), pa.array([p.counts.astype("<u4").tobytes() for p in got], pa.binary())],
                                              [*part.schema.names, "ids", "counts"])
 
-    encoded = spread.mapInArrow(thrifty(each), spread.schema.simpleString()[7:-1] + ", ids binary, counts binary")
+    encoded = spread.mapInArrow(thrifty(each, keeps=True), spread.schema.simpleString()[7:-1] + ", ids binary, counts binary")
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, limit=MEMO)
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS
         if held:
             yield done()
 
-    whole_again = encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInArrow(thrifty(joined), f"doc_id {kind}, {schema}")
+    whole_again = encoded.repartition("row", "size").sortWithinPartitions("row", "size", "leaf").mapInArrow(thrifty(joined, keeps=True), f"doc_id {kind}, {schema}")
     return short.unionByName(whole_again)
 
 
@@ -176,4 +176,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(thrifty(run, keeps=True), f"doc_id {kind}, text string")

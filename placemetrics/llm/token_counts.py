@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from placemetrics.llm.bpe import VOCABULARY, load, split_words, vocabulary_file
-from placemetrics.llm.words import WordRows, batches, map_frames, sums
+from placemetrics.llm.words import WordRows, batches, kept, map_frames, sums
 
 LIMIT = 2048
 # Fixed value: how the vocabulary's pre-tokeniser splits text into contractions, letters, digits and other signs.
@@ -143,14 +143,12 @@ class PrefixTable:
         return [counts[n - 1] for n in sizes]
 
 
-_tables: dict[str, tuple[PrefixTable, WordRows]] = {}
-
-
 def _table(name: str) -> tuple[PrefixTable, WordRows]:
-    if name not in _tables:
+    def make() -> tuple[PrefixTable, WordRows]:
         table = PrefixTable(name)
-        _tables[name] = table, WordRows(table.counts)
-    return _tables[name]
+        return table, WordRows(table.counts)
+
+    return kept(("prefixes", name), make)
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -167,7 +165,7 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n_tokens, "over_limit": n_tokens > limit})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", keeps=True)
 
 
 def cut_points(docs: DataFrame, budget: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -194,4 +192,4 @@ def cut_points(docs: DataFrame, budget: int = LIMIT, vocabulary: str = VOCABULAR
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_chars long, n_tokens long")
+    return map_frames(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_chars long, n_tokens long", keeps=True)

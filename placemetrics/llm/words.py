@@ -86,10 +86,32 @@ def give_back() -> None:
         trim(0)
 
 
-def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The task function, giving memory back as it ends: workers live on and would hold it through the next stages."""
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What this worker process keeps from task to task, made at first use."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    """Forgets what tasks of another operator kept here, and hands its memory back."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def thrifty(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """The task function, giving memory back as it ends: workers live on and would hold it through the next stages.
+
+    Unless it uses what is `kept` itself, it also drops that as it starts.
+    """
     @wraps(run)
     def wrapped(parts):
+        if not keeps:
+            drop_kept()
         try:
             yield from run(parts)
         finally:
@@ -116,7 +138,7 @@ def keep_rows(docs, decide: Callable[[], Callable[[list[str]], np.ndarray]]):
     return docs.mapInArrow(thrifty(run), docs.schema)
 
 
-def map_frames(df, run: Callable[[Iterator], Iterator], schema: str):
+def map_frames(df, run: Callable[[Iterator], Iterator], schema: str, keeps: bool = False):
     """Like mapInPandas, but whole numbers stay whole where a column holds nulls too (nullable integers in place of doubles)."""
     import pandas as pd
     import pyarrow as pa
@@ -130,4 +152,4 @@ def map_frames(df, run: Callable[[Iterator], Iterator], schema: str):
         for out in run(part.to_pandas(types_mapper=whole.get) for part in parts):
             yield pa.RecordBatch.from_pandas(out, schema=kept, preserve_index=False)
 
-    return df.mapInArrow(thrifty(wrapped), schema)
+    return df.mapInArrow(thrifty(wrapped, keeps), schema)
