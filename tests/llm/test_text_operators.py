@@ -248,6 +248,7 @@ def test_secrets(spark, odd, none, small):
         spans, runs = secret_scan.base_spans(text)
         assert spans == brute_spans(text)
         cover = secret_scan.Cover(spans)
+        assert all(cover.holds(a, b) == any(s <= a and e >= b for s, _, e in spans) for a, b in [*runs, *((i, i + 3) for i in range(0, len(text), 5))])
         assert all(cover.touches(a, b) == any(s < b and e > a for s, _, e in spans) for a, b in [*runs, *((i, i + 3) for i in range(0, len(text), 5))])
     net = secret_scan.train(spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet"))
     for docs in (odd, none, small):
@@ -275,6 +276,8 @@ def test_secrets_outside_the_patterns(spark):
             base, spans = secret_scan.all_spans(f"{start} {value} and more", net)
             found += (len(start) + 1, 3, len(start) + 1 + len(value)) in spans and not any(a > len(start) for a, _, _ in base)
         assert found >= 0.9 * len(before)
+    key = "ghp_Qx7LpZk2VnM0123456789abcdefWq9RtYh3BnK"  # a pattern takes its middle only
+    assert sum(secret_scan.redacted(f"{t} {key} and more", net).endswith(" [SECRET] and more") for t in before) >= 0.9 * len(before)
     for word in ("internationalisation", "Unternehmensbereich", "ANNOUNCEMENTS", "annual-report-2023", "2024-01-15T10", "==============="):
         assert sum(any(a > len(t) for a, _, _ in secret_scan.all_spans(f"{t} {word} and more", net)[1]) for t in before) <= 2
     runs = spans = 0
