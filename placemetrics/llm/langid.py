@@ -5,10 +5,13 @@ highest order uses counts, lower orders the number of distinct letters seen befo
 by its own constant and interpolated down to an even choice of characters. Tables are sorted arrays
 of packed 4-grams, read by binary search. A text goes to the language with the lowest cross-entropy
 per character. The margin to the second, times the root of the length, gives the score by a logistic
-curve fitted to labelled texts; texts scored under the rejection threshold are marked `rejected`.
+curve; texts scored under the rejection threshold are marked `rejected`. Curve and threshold are fitted to
+labelled texts of one fold in `FOLDS`, dealt by text so that copies stay together, as models without that fold
+score them.
 
 Counts cover all labelled documents, and a model holds every 4-gram counted, so that discounts,
-continuation counts and totals are those of the whole corpus. What is sent to each executor grows with
+continuation counts and totals are those of the whole corpus. Letters take 16 bits each: those beyond the
+basic plane share the codes that no letter of it has, by remainder, so letters of one script stay apart. What is sent to each executor grows with
 the distinct 4-grams, not with the texts. Texts that are null or have no letter are `und` with score 0. Repeated rows are predicted each; rows with
 a null doc_id too, but nothing is learned from them. Extra columns are not read.
 """
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemetrics.llm.samples import hashed_share
@@ -30,9 +33,12 @@ from placemetrics.session import cut
 
 ORDER = 4
 CALIBRATION = 4_000
+FOLDS = 5
 REJECT_RATE = 0.01
 UNKNOWN = "und"
 EDGE = 32  # the code point of a blank stands for a word's borders
+#: Surrogates and private use, which are never letters.
+NO_LETTERS = (0xD800, 0xF8FF)
 
 
 def letters_of(word: str) -> str:
@@ -44,7 +50,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     plain = [letters_of(w) for w in words]
     sizes = np.array([len(p) + 1 if p else 0 for p in plain], np.int64)
     text = "".join("   " + p + " " for p in plain if p)
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0xFFFF).astype(np.uint64)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    low, high = NO_LETTERS
+    codes = np.where(codes > 0xFFFF, low + codes % (high - low + 1), codes).astype(np.uint64)
     if not len(codes):
         return np.zeros(0, np.int64), sizes
     packed = (codes[:-3] << np.uint64(48)) | (codes[1:-2] << np.uint64(32)) | (codes[2:-1] << np.uint64(16)) | codes[3:]
@@ -166,6 +174,8 @@ class Models:
         return (low[:, 1] - low[:, 0]) * np.sqrt(size)
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
+        if not self.models or not texts:
+            return
         entropy, size = self.entropy(texts, self.word_rows())
         use = size > 0
         x, y = self.strength(entropy, size)[use], (np.array(self.names)[entropy.argmin(1)] == np.array(langs))[use].astype(float)
@@ -186,14 +196,28 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.intercept, -30, 30)))
 
 
+def fold_counts(docs: DataFrame) -> DataFrame:
+    """lang, gram, n over all documents, and `n_apart`, those of the fold that calibrates; counted in one pass."""
+    named = docs.withColumn("lang", F.concat(F.when(calibrates(), "1").otherwise("0"), "lang"))
+    apart = F.when(F.startswith("lang", F.lit("1")), F.col("n")).otherwise(0)
+    return gram_counts(named).groupBy(F.substr("lang", F.lit(2)).alias("lang"), "gram").agg(F.sum("n").alias("n"), F.sum(apart).alias("n_apart"))
+
+
+def calibrates() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+
+
 def train(docs: DataFrame, calibration: int = CALIBRATION) -> Models | None:
     """Models of all languages of the documents given; None where none has a language."""
-    table = gram_counts(docs).toArrow().to_pandas(strings_to_categorical=True)
+    table = fold_counts(docs).toArrow().to_pandas(strings_to_categorical=True)
     if not len(table):
         return None
+    rest = table.assign(n=table["n"] - table["n_apart"])
+    apart = Models(rest[rest["n"] > 0])
+    sample = hashed_share(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & calibrates()).select("doc_id", "text", "lang"), calibration).select("text", "lang").toPandas()
+    apart.calibrate(sample["text"].tolist(), sample["lang"].tolist())
     models = Models(table)
-    sample = hashed_share(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), calibration).select("text", "lang").toPandas()
-    models.calibrate(sample["text"].tolist(), sample["lang"].tolist())
+    models.slope, models.intercept, models.reject_under = apart.slope, apart.intercept, apart.reject_under
     return models
 
 

@@ -6,12 +6,14 @@ whose entries both took part in an earlier round are passed over. Rounds end whe
 
 - lists full of links (cosine of the threshold or more) are saturated: the lists of all members of
   such a vector's component are enlarged to the whole component, compared in slices;
-- recall is audited on a bounded sample against all vectors; a link counts as found that the lists hold
-  or that such an enlarged component of the lists holds. As long as recall is under `RECALL` the rounds
-  go on with longer lists and fresh random neighbours;
-- if it still is after `ENLARGE` turns, all vectors are compared with all others in blocks, which is exact.
+- recall is audited on a sample against all vectors; a link counts as found that the lists hold
+  or that such an enlarged component of the lists holds. The sample grows until `LINKED` of its vectors have
+  links, or until it is the whole table: a sample without links says nothing. As long as recall is under
+  `RECALL` the rounds go on with longer lists and fresh random neighbours;
+- if it still is after `ENLARGE` turns, or if the largest sample sent to tasks (`AUDIT_MOST`) holds fewer linked
+  vectors, so that recall cannot be measured, all vectors are compared with all others in blocks, which is exact.
 
-The recall of every turn is logged.
+The recall of every turn is logged, that of the last returned.
 
 Neighbours are sought with half-precision copies of the vectors; a link is only what double precision
 confirms. Equal vectors form one point with a weight, so copies cost nothing.
@@ -41,6 +43,10 @@ START_CHUNK = 2_000
 STARTS = 6
 ROUNDS = 5
 AUDIT = 256
+#: Largest sample, 16 MB of 128 components in double precision.
+AUDIT_MOST = 16_384
+#: Vectors with links that a sample needs to tell recall.
+LINKED = 64
 RECALL = 0.995
 ENLARGE = 3
 SLICE = 1_000
@@ -215,10 +221,10 @@ def links_of(graph: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return cut(exact.mapInPandas(run, "a long, b long"))
 
 
-def audit(found: DataFrame, threshold: float, most: int = AUDIT) -> DataFrame:
+def audit(found: DataFrame, threshold: float, most: int) -> DataFrame:
     """All true links of at most `most` sample vectors.
 
-    The sample is sent to every task; each compares it with its vectors.
+    The sample is sent to every task; each compares it with its vectors, a slice at a time.
     """
     spark = found.sparkSession
     sample = found.select("point", "exact").orderBy(F.xxhash64("point"), "point").limit(most).toPandas()
@@ -227,14 +233,28 @@ def audit(found: DataFrame, threshold: float, most: int = AUDIT) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, x = shared.value
         for part in parts:
-            if len(part):
-                other = part["point"].to_numpy()
-                i, j = np.nonzero(matrix(part["exact"], "<f8") @ x.T >= threshold)
+            for first in range(0, len(part), SLICE):
+                rows = part.iloc[first:first + SLICE]
+                other = rows["point"].to_numpy()
+                i, j = np.nonzero(matrix(rows["exact"], "<f8") @ x.T >= threshold)
                 use = other[i] != names[j]
                 a, b = other[i][use], names[j][use]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sampled": b})
+
+    return cut(found.select("point", "exact").mapInPandas(run, "a long, b long, sampled long"))
 
-    return cut(found.select("point", "exact").mapInPandas(run, "a long, b long").distinct())
+
+def telling_audit(found: DataFrame, threshold: float, n: int) -> DataFrame | None:
+    """True links of the first sample, each four times the one before, in which `LINKED` vectors have links
+    or that holds all `n`; None where the largest sample has fewer."""
+    most = AUDIT
+    while True:
+        true = audit(found, threshold, most)
+        if most >= n or true.select("sampled").distinct().count() >= LINKED:
+            return cut(true.select("a", "b").distinct())
+        if most >= AUDIT_MOST:
+            return None
+        most = min(4 * most, AUDIT_MOST)
 
 
 def dense_members(links: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -326,27 +346,35 @@ def counts_from_lists(found: DataFrame, listed: DataFrame, true: DataFrame, full
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
+    return near_duplicates_and_recall(spark, vectors, threshold, k)[0]
+
+
+def near_duplicates_and_recall(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST) -> tuple[DataFrame, float]:
+    """The rows of `near_duplicates`, and the audited recall of the lists they come from; 1 where all were compared."""
     found, rows = points(vectors)
     n = found.count()
     first = found.select("exact").first()
-    graph = None
-    if n > 1:
+    graph, recall = None, 1.0
+    true = telling_audit(found, threshold, n) if n > 1 else None
+    if true is not None:
         size = len(first["exact"]) // 8
         for turn in range(ENLARGE):
             fresh = start(found, n, size, k, [1 + STARTS * turn + i for i in range(STARTS)])
             graph = descend(cut(best(fresh if graph is None else graph.withColumn("new", F.lit(True)).unionByName(fresh), k)), found, k, n)
             listed = links_of(graph, found, threshold)
             full = cut(graph.where(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("point")))
-            true = audit(found, threshold)
             recall = recall_of(true, listed, full)
             logging.getLogger(__name__).info("turn %d: audited recall %.5f with lists of %d", turn + 1, recall, k)
             if recall >= RECALL:
                 break
             k *= 2
-        counts = counts_from_lists(found, listed, true, full, threshold) if recall >= RECALL else exact_counts(found, threshold)
-    else:
+    if n <= 1:
         counts = found.select("point", (F.col("weight") - 1).alias("n_links"), F.col("point").alias("component"))
+    elif true is not None and recall >= RECALL:
+        counts = counts_from_lists(found, listed, true, full, threshold)
+    else:
+        counts, recall = exact_counts(found, threshold), 1.0
     named = rows.join(counts, "point").select("vec_id", "n_links", "component")
     good = named.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
     out = vectors.select("vec_id").join(good, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall

@@ -48,8 +48,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from placemetrics.llm.nn_descent import near_duplicates
-    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+    from placemetrics.llm.nn_descent import near_duplicates_and_recall
+    rows, recall = near_duplicates_and_recall(spark, table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("audited_recall", F.lit(float(recall)))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
