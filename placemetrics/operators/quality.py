@@ -234,7 +234,8 @@ def ambiguous_codes(dim: DataFrame, code: str, kind: str) -> DataFrame:
 
 
 def table_profile(df: DataFrame, keys: Sequence[str], area: str, period: str, amounts: Sequence[str]) -> DataFrame:
-    """Shape of a table in two aggregates: one over rows, one over keys."""
+    """Shape of a table in one read: an aggregate over rows per key, then one over keys in which Spark counts the
+    distinct areas and periods as grouping sets of the same pass."""
     nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("bigint") for c in df.columns])
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
     neg = reduce(lambda a, b: a + b, [F.coalesce((F.col(c) < 0).cast("bigint"), F.lit(0)) for c in amounts])
@@ -242,11 +243,9 @@ def table_profile(df: DataFrame, keys: Sequence[str], area: str, period: str, am
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_nulls"),
                                     F.sum(neg).alias("_neg"), F.sum(zero).alias("_zero"),
                                     F.max(no_key.cast("int")).alias("_nokey"))
-    rows = per_key.agg(
+    return per_key.agg(
         F.sum("_n").alias("row_count"), F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(0)).alias("duplicate_keys"),
         F.sum(F.when(F.col("_nokey") == 1, F.col("_n")).otherwise(0)).alias("missing_key_rows"),
-        F.sum("_nulls").alias("null_cells"), F.sum("_neg").alias("negative_amounts"), F.sum("_zero").alias("zero_amounts"))
-    distinct = per_key.select(area).distinct().agg(F.count(area).alias("areas"))
-    periods = per_key.select(period).distinct().agg(F.count(period).alias("periods"))
-    return (rows.crossJoin(distinct).crossJoin(periods)
-                .withColumn("column_count", F.lit(len(df.columns)).cast("bigint")))
+        F.sum("_nulls").alias("null_cells"), F.sum("_neg").alias("negative_amounts"), F.sum("_zero").alias("zero_amounts"),
+        F.count_distinct(area).alias("areas"), F.count_distinct(period).alias("periods"),
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"))

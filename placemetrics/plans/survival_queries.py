@@ -56,7 +56,9 @@ def samples(t: Tables) -> DataFrame:
 
 
 def split(t: Tables) -> DataFrame:
-    return S.split_by_time(samples(t), X.f_panel(t))
+    panel = cut(X.f_panel(t))       # read for the features and for the span of its quarters
+    found = S.label_by_median(S.training_rows(S.build_features(panel, min_stores=MIN_STORES)))
+    return S.split_by_time(found, panel)
 
 
 def scored(t: Tables) -> DataFrame:
@@ -142,7 +144,7 @@ SELECT g.industry_code, g.quarter_idx, """ + ", ".join(
  FROM f_series s CROSS JOIN (SELECT DISTINCT CAST(unnest(generate_series(min(quarter_idx), max(quarter_idx))) AS INTEGER) AS q FROM f_feat) x
  LEFT JOIN f_feat f ON f.area_code = s.area_code AND f.industry_code = s.industry_code AND f.quarter_idx = x.q) g GROUP BY 1, 2""")
 def exclusions(t):
-    panel = X.f_panel(t)
+    panel = cut(X.f_panel(t))
     feats = S.build_features(panel, min_stores=MIN_STORES)
     return S.exclusion_counts(feats, S.series_grid(panel, X.f_series(t).select(*P.SERIES)))
 
