@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,16 +199,42 @@ def score_snapshot(t):
 WINDOW_MS, LIMIT = 6 * 3600 * 1000, 2
 
 
-@query("throttle_audit", None, f"""
+_AUDIT = f"""
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events),
 a AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT user_id, n FROM (SELECT a.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = a.user_id AND e.t >= a.t + {WINDOW_MS}) AS n FROM a) WHERE n IS NOT NULL),
 p AS (SELECT e.user_id, event_id, e.t, max(a.t) AS start_t FROM e JOIN a ON a.user_id = e.user_id AND a.t <= e.t GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, start_t ORDER BY t, event_id) AS rn FROM p)
-SELECT user_id, event_id, start_t, rn <= {LIMIT} AS allowed, CASE WHEN rn > {LIMIT} THEN CAST(greatest(1, ceil((start_t + {WINDOW_MS} - t) / 1000.0)) AS BIGINT) END AS retry_after FROM r""")
+SELECT user_id, event_id, start_t, rn <= {LIMIT} AS allowed, CASE WHEN rn > {LIMIT} THEN CAST(greatest(1, ceil((start_t + {WINDOW_MS} - t) / 1000.0)) AS BIGINT) END AS retry_after FROM r"""
+
+
+@query("throttle_audit", None, _AUDIT)
 def throttle_audit(t):
     return TH.throttle_audit(t.events, LIMIT, WINDOW_MS)
 
 
+def _landings(t: Tables, base: str, columns: list[str], slices: int = 3) -> Iterator[DataFrame]:
+    """The events as a stream that lands in slices of time; each step has landed one more slice. Events without a time never land."""
+    events = t.events.select(*columns)
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:      # no event: one empty landing
+        lo = hi = datetime(1970, 1, 1)
+    cuts = [F.lit(str(lo + (hi - lo) * i / slices)).cast(events.schema["ts"].dataType) for i in range(1, slices)]
+    part = sum((F.col("ts") >= c).cast("int") for c in cuts)
+    for k in range(slices):
+        events.where(part == k).write.mode("append").parquet(f"{base}/landing")
+        yield t.spark.readStream.schema(events.schema).parquet(f"{base}/landing")
+
+
+@query("throttle_replay", None, _AUDIT)
+def throttle_replay(t):
+    """The audit as a stream: the open window of a user is carried from landing to landing."""
+    base = _new_dir(t, "throttle")
+    for landed in _landings(t, base, ["user_id", "event_id", "ts"]):
+        out = TH.throttle_stream(landed, LIMIT, WINDOW_MS).writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+        out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(TH.OUT).parquet(f"{base}/out")
+
+
 @query("stream_increment", ["f_sales"], "SELECT count(*) AS active_rows, CAST(sum(sales_amount) AS BIGINT) AS active_amount, CAST(3 AS BIGINT) AS releases FROM f_sales WHERE sales_amount >= 0")
 def stream_increment(t):
     """Three landings of panel rows, the second of them twice; the rows of the ACTIVE release, which are all that landed."""
@@ -225,8 +253,23 @@ def stream_increment(t):
     return active.crossJoin(store.releases().agg(F.count(F.lit(1)).alias("releases")))
 
 
-@query("source_freshness", None, """SELECT source, CAST(max(ts) AS DATE) AS last_succeeded_on, CAST(max(ts) AS DATE) + 3 >= DATE '2024-01-28' + CAST(length(source) AS INTEGER) AS fresh FROM (SELECT event_type AS source, ts FROM events) GROUP BY 1""")
+_FRESH = """SELECT source, CAST(max(ts) AS DATE) AS last_succeeded_on, CAST(max(ts) AS DATE) + 3 >= DATE '2024-01-28' + CAST(length(source) AS INTEGER) AS fresh FROM (SELECT event_type AS source, ts FROM events) GROUP BY 1"""
+
+
+@query("source_freshness", None, _FRESH)
 def source_freshness(t):
-    last = J.last_success(t.events.select(F.col("event_type").alias("source"), "ts"))
+    return _fresh(J.last_success(t.events.select(F.col("event_type").alias("source"), "ts")))
+
+
+def _fresh(last: DataFrame) -> DataFrame:
     as_of = F.date_add(F.lit("2024-01-28").cast("date"), F.length("source"))
     return J.source_freshness(last, as_of).select("source", "last_succeeded_on", "fresh")
+
+
+@query("freshness_replay", None, _FRESH)
+def freshness_replay(t):
+    """The monitor as a stream: the newest success per source is carried from landing to landing."""
+    base = _new_dir(t, "freshness")
+    for landed in _landings(t, base, ["event_type", "ts"]):
+        J.stream_last_success(landed.withColumnRenamed("event_type", "source"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return _fresh(J.newest_batch(t.spark, f"{base}/out"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,6 +43,25 @@ def last_success(events: DataFrame, source: str = "source", ts: str = "ts") -> D
     return events.groupBy(source).agg(F.max(ts).alias("last_succeeded_at"))
 
 
+def stream_last_success(events: DataFrame, target: str, checkpoint: str, source: str = "source", ts: str = "ts") -> StreamingQuery:
+    """Keep the newest success per source of all events landed so far, as one small folder per micro-batch.
+
+    The state is one row per source. A batch that is run again overwrites its own folder; readers take
+    the newest (`newest_batch`).
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (last_success(events, source, ts).writeStream.outputMode("complete").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def newest_batch(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of the newest batch below a folder; batches are committed whole."""
+    batches = spark.read.parquet(target)
+    return batches.join(F.broadcast(batches.agg(F.max("batch").alias("batch"))), "batch").drop("batch")     # one row
+
+
 def source_freshness(last: DataFrame, as_of, days: int = FRESH_DAYS) -> DataFrame:
     """Fresh while the last success is at most ``days`` before the as-of day."""
     day = F.to_date("last_succeeded_at")

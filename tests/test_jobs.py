@@ -140,6 +140,28 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     assert got == batch
 
 
+def test_streams_landed_in_slices_equal_the_batch_jobs(spark, tmp_path):
+    from placemetrics.plans import source_queries as SQ
+
+    for replay, batch in (("throttle_replay", "throttle_audit"), ("freshness_replay", "source_freshness")):
+        got, want = ([tuple(r) for r in SQ.QUERIES[name](spark, SF).collect()] for name in (replay, batch))
+        assert len(got) == len(want) > 0 and set(got) == set(want)
+
+
+def test_a_batch_of_successes_that_runs_again_changes_nothing(spark, tmp_path):
+    from placemetrics.streaming import jobs as J
+
+    rows = [("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), (None, "2024-01-05 00:00:00"), ("a", None)]
+    later = [("a", "2023-12-01 00:00:00"), ("b", "2024-01-04 00:00:00")]
+    schema = "source string, ts timestamp"
+    for landing in (rows, later, later):
+        spark.createDataFrame(landing, "source string, ts string").selectExpr("source", "CAST(ts AS timestamp) AS ts").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        J.stream_last_success(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r.source: str(r.last_succeeded_at) for r in J.newest_batch(spark, f"{tmp_path}/out").collect()}
+    assert got == {"a": "2024-01-01 00:00:00", "b": "2024-01-04 00:00:00", None: "2024-01-05 00:00:00"}
+
+
 def test_match_list_is_the_whole_product_without_mismatches(spark):
     from placemetrics.plans import matching_queries as MQ
     from placemetrics.plans.proxies import Tables
