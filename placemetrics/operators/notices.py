@@ -373,13 +373,21 @@ def latest_notice(funds: DataFrame, notices: DataFrame, category: str = LOAN_CAT
 
     No fund meets every notice: a matching fund name ends where the allowed suffix starts, so a
     title is cut into the few names it could announce, and those meet the funds in an equi-join.
+    Equal titles are cut once, and equal names keep only the newest number before they are
+    shuffled; the titles of the numbers found are looked up afterwards.
     """
     f = funds.select("section", "fund_name", normal_fund_name(F.col("fund_name")).alias("_fund")).distinct()
     n = notices.withColumn("_t", compact(F.col("title"))).where((F.length("_t") > 1) & (F.col("category") == category))
     ends = F.filter(F.sequence(F.lit(2), F.length("_t")),
                     lambda i: F.substring(F.col("_t"), i, F.length("_t")).rlike("^" + NOTICE_SUFFIX))
-    cut = n.withColumn("_end", F.explode(ends)).withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_end") - 1)))
-    names = cut.select("section", "seq", "title", F.substring(F.col("_t"), F.col("_start"), F.col("_end") - F.col("_start")).alias("_fund"))
-    hits = names.distinct().join(f, ["section", "_fund"])
-    return (hits.groupBy("section", "fund_name").agg(F.max_by(F.struct("seq", "title"), "seq").alias("n"))
-                .select("section", "fund_name", "n.seq", "n.title"))
+    cut = n.groupBy("section", "_t").agg(F.max("seq").alias("seq")).withColumn("_end", F.explode(ends))
+    names = cut.withColumn("_start", F.explode(F.sequence(F.lit(1), F.col("_end") - 1))).select(
+        "section", "seq", F.substring(F.col("_t"), F.col("_start"), F.col("_end") - F.col("_start")).alias("_fund"))
+    hits = names.groupBy("section", "_fund").agg(F.max("seq").alias("seq")).join(f, ["section", "_fund"])
+    newest = hits.groupBy("section", "fund_name").agg(F.max("seq").alias("seq"), F.any_value("_fund").alias("_fund"))
+    # of equal numbers the greatest title that announces the fund
+    size = F.length("_fund")
+    announces = F.exists(ends, lambda i: (i > size) & (F.substring(F.col("_t"), i - size, size) == F.col("_fund")))
+    titles = (n.select("section", "seq", "title", "_t").join(newest, ["section", "seq"]).where(announces)
+              .groupBy("section", "fund_name").agg(F.max("title").alias("title")))
+    return newest.drop("_fund").join(titles, ["section", "fund_name"], "left")

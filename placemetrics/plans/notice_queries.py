@@ -236,12 +236,12 @@ def status_downgrade(t):
 
 # ---------------------------------------------------------------- funds
 
-def _fund_rows(t: Tables) -> DataFrame:
+def _fund_rows(t: Tables, part: DataFrame | None = None) -> DataFrame:
     k = F.col("p_partkey")
     section = F.when(k % 2 == 0, "직접대출").otherwise("대리대출")
     name = F.concat(F.when(k % 3 == 0, F.lit("소상공인 ")).otherwise(F.lit("")), F.col("p_name"), F.lit(" 자금"))
     suffix = F.get(F.array(*[F.lit(x) for x in ("(직접대출) 접수 안내", " 신청안내", "(일반)(대리대출) 신청 안내", " 금리인하 신청안내", "(피해) 접수안내", "")]), (k % 6).cast("int"))
-    return t.part.select(k.alias("seq"), section.alias("section"), name.alias("fund_name"),
+    return (t.part if part is None else part).select(k.alias("seq"), section.alias("section"), name.alias("fund_name"),
                          F.concat(F.lit("[공지] "), F.col("p_name"), F.lit(" 자금"), suffix).alias("title"))
 
 
@@ -260,7 +260,7 @@ def fund_key(t):
 @query("latest_per_key", None, f"""WITH x AS (SELECT {_SEC} AS section, {_FUND} AS fund, p_partkey AS k, p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 <> 0 AS m FROM part)
 SELECT f.section, f.fund, max(n.k) AS seq FROM (SELECT DISTINCT section, fund FROM x) f JOIN x n ON n.m AND n.section = f.section AND ends_with(n.fund, f.fund) GROUP BY 1, 2""")
 def latest_per_key(t):
-    f = _fund_rows(t)
+    f = _fund_rows(t, t.dealt("part", "p_partkey"))
     got = N.latest_notice(f.select("section", "fund_name"), f.select("section", "seq", "title", F.when(F.col("seq") % 5 == 0, "일반").otherwise(N.LOAN_CATEGORY).alias("category")))
     return got.select("section", N.normal_fund_name(F.col("fund_name")).alias("fund"), "seq").distinct()
 
