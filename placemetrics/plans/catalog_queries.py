@@ -166,10 +166,10 @@ def duplicate_products(t):
 
 # ---------------------------------------------------------------- versions
 
-def _stored(t: Tables) -> DataFrame:
+def _stored(t: Tables, part: DataFrame | None = None) -> DataFrame:
     """Stored versions: one to three per product, some malformed; content differs at every tenth key."""
     k = F.col("p_partkey")
-    base = t.part.where(k % 17 != 0).select(k.alias("k"), F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("i"))
+    base = (t.part if part is None else part).where(k % 17 != 0).select(k.alias("k"), F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("i"))
     ver = F.when((F.col("k") % 5 == 0) & (F.col("i") == 1), F.lit("1.x.2")).when((F.col("k") % 23 == 0), F.lit("v1")).otherwise(
         F.concat(F.lit("1."), (F.col("i") * 5).cast("string"), F.lit("."), (F.col("k") % 12).cast("string")))
     fp = F.when((F.col("k") % 10 != 0) & (F.col("i") == 0), F.sha2(F.col("k").cast("string"), 256)).otherwise(
@@ -194,7 +194,7 @@ def next_version(t):
 @query("assign_version", ["f_stored"], """, n AS (SELECT product_key, coalesce('1.' || max(minor) FILTER (ok) || '.' || (max(patch) FILTER (ok) + 1), '1.0.0') AS nv, max(version) FILTER (same) AS sv FROM f_stored GROUP BY 1)
 SELECT 'p-' || p_partkey AS product_key, coalesce(sv, nv, '1.0.0') AS assigned_version, sv IS NOT NULL AS reused FROM part LEFT JOIN n ON n.product_key = 'p-' || p_partkey""")
 def assign_version(t):
-    return C.assign_versions(_current(t), _stored(t)).select("product_key", "assigned_version", "reused")
+    return C.assign_versions(_current(t), _stored(t, t.dealt("part", "p_partkey"))).select("product_key", "assigned_version", "reused")
 
 
 @query("immutability", ["f_stored"], """SELECT product_key, version FROM f_stored WHERE i = 0 AND NOT same""")

@@ -5,8 +5,8 @@ import io
 
 from pyspark.sql import functions as F
 
-from placemetrics.operators import notices
-from placemetrics.plans import notice_queries
+from placemetrics.operators import catalog, notices
+from placemetrics.plans import catalog_queries, notice_queries
 
 
 def plan(df):
@@ -25,3 +25,11 @@ def test_latest_notice_combines_before_it_shuffles(spark):
         ("대리대출", "성장자금", None, None), ("직접대출", "소상공인 성장 자금", 7, "새 성장자금(직접대출) 접수 안내")]
     text = plan(notice_queries.QUERIES["latest_per_key"](spark, "/root/testdata/sf0.001"))
     assert "SortAggregate" not in text and "REPARTITION_BY_NUM" in text
+
+
+def test_assign_versions_keeps_its_joins_in_many_tasks(spark):
+    products = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("c", "z"), (None, "x")], "product_key string, fingerprint string")
+    stored = spark.createDataFrame([("a", "1.0.4", "x", 2), ("a", "1.0.3", "x", 1), ("b", "1.2.9", "w", 0), ("b", "bad", "v", 1)], "product_key string, version string, fingerprint string, line int")
+    got = sorted(map(tuple, catalog.assign_versions(products, stored).collect()), key=str)
+    assert got == sorted([("a", "x", "1.0.3", True)] * 2 + [("b", "y", "1.2.10", False), ("c", "z", "1.0.0", False), (None, "x", "1.0.0", False)], key=str)
+    assert plan(catalog_queries.QUERIES["assign_version"](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") >= 3
