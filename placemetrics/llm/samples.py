@@ -22,3 +22,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
               .orderBy(F.xxhash64(_number(labels)), "doc_id").limit(most))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min(c).alias(c) for c in chosen.columns if c != "doc_id"))
+
+
+def hashed_share(docs: DataFrame, most: int) -> DataFrame:
+    """About `most` rows at most, chosen by a hash of id and text; all rows of a small table."""
+    share = most / max(1, docs.count())
+    if share >= 1:
+        return docs
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).limit(2 * most)
